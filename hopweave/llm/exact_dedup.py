@@ -77,12 +77,21 @@ def exact_dedup(
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup drops; every column stays, rows are not moved by text.
+    """docs with one row of each group of equal texts, that of the largest id; every column stays.
 
-    Dropped ids are anti-joined. Of rows that repeat id and text all stay, for nothing tells them apart.
+    Rows that go are anti-joined by id and a hash of the text (so that a null id drops no other row).
+    Of rows that repeat both, one stays.
     """
-    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone.distinct(), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    marked = written(docs.sparkSession, exact_dedup(docs, id_col, text_col, carry={"_dedup_key": key}), "dedup")
+    pairs = lambda df: df.select(F.col(id_col).alias("_dedup_id"), F.col("_dedup_key").alias("_dedup_hash")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_dedup_id")) & (key == F.col("_dedup_hash"))
+    out = docs.join(pairs(marked.where("not kept")), same, "left_anti")
+    twice = written(docs.sparkSession, pairs(marked.where("kept").groupBy(id_col, "_dedup_key").count().where("count > 1")), "dedup-repeats")
+    if not twice.limit(1).count():
+        return out
+    again = out.join(twice, same, "left_semi").withColumn("_dedup_key", key).dropDuplicates([id_col, "_dedup_key"]).drop("_dedup_key")
+    return out.join(twice, same, "left_anti").unionByName(again)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
