@@ -13,8 +13,8 @@ Equal sets are one class, of which the smallest id stands for all. Then, with o
    reach. A class queries the groups with which it shares a probe token, except its own linked group. A
    group is passed over if sizes forbid a link, first by how many of the query's tokens occur anywhere
    else, then by how many occur in the group (its own left out).
-4. Only groups that qualify are opened: the query meets the members that share a probe token with it,
-   and the overlap of whole sets decides.
+4. Only groups that qualify are opened: a member that links holds at least one of the few tokens of the
+   query that are rarest in the group; the query meets the members that do, and whole sets decide.
 
 So members of a large group of near copies meet its leader and the group, not each other; no link is lost, for
 every pair of linked classes either shares a linked group or passes all bounds. Nothing is capped.
@@ -61,9 +61,9 @@ def _maybe_broadcast(df: DataFrame, limit: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, k: int, percent: int, what: str) -> DataFrame:
-    """what: "signature", "prefix" (with n and the probe size) or "whole". Needs _id, _t."""
+    """what: "prefix" (its tokens, with its size and the probe size) or "whole". Needs _id, _t."""
     kind = docs.schema["_id"].dataType.simpleString()
-    cols = {"signature": "", "prefix": ", p int, probe int, tokens array<long>", "whole": ", tokens array<long>"}[what]
+    cols = {"prefix": ", p int, probe int, tokens array<long>", "whole": ", tokens array<long>"}[what]
 
     def run(batches):
         import numpy as np
@@ -78,19 +78,15 @@ def _sets(docs: DataFrame, k: int, percent: int, what: str) -> DataFrame:
                 if what == "prefix":
                     out |= {"p": [prefix_size(len(s), percent) for s in sets], "probe": [probe_size(len(s), percent) for s in sets]}
                     sets = [s[:p] for s, p in zip(sets, out["p"], strict=True)]
-                if what != "signature":
-                    out["tokens"] = [s.view(np.int64) for s in sets]
+                out["tokens"] = [s.view(np.int64) for s in sets]
                 yield pd.DataFrame(out)
 
     return docs.mapInPandas(run, f"_id {kind}, n long, s1 long, s2 long{cols}")
 
 
-def jaccard_links(classes: DataFrame, src: DataFrame, k: int, percent: int, max_broadcast_rows: int, size_step: float = 1.03) -> DataFrame:
-    """Links a, b between classes. classes: _id, s1, s2 of the rows that stand for one; src: _id, _t."""
+def jaccard_links(pre: DataFrame, src: DataFrame, k: int, percent: int, max_broadcast_rows: int, size_step: float = 1.03) -> DataFrame:
+    """Links a, b between classes. pre: _id, n, s1, s2, p, probe, tokens of one row of each; src: _id, _t."""
     spark = src.sparkSession
-    ids = classes.select("_id", "s1", "s2")
-    here = _maybe_broadcast(ids, max_broadcast_rows)
-    pre = _sets(src, k, percent, "prefix").where("n > 0").join(here, ["_id", "s1", "s2"], "left_semi")
     rows = pre.select("_id", "n", "p", "probe", F.explode("tokens").alias("token"))
     held = rows.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
     shared = written(spark, rows.join(held, "token"), "shared-prefix")
@@ -102,8 +98,9 @@ def jaccard_links(classes: DataFrame, src: DataFrame, k: int, percent: int, max_
     probes = written(spark, shared.withColumns({"alone": alone, "rank": rank}).where("rank <= probe - alone").select("_id", "n", "token"), "probes")
 
     # Whole sets of the classes that are left, and how many of their tokens others of these hold too.
-    left = _maybe_broadcast(probes.select("_id").distinct().join(ids, "_id"), max_broadcast_rows)
-    whole = written(spark, _sets(src, k, percent, "whole").join(left, ["_id", "s1", "s2"], "left_semi").select("_id", "n", "tokens"), "whole-sets")
+    left = _maybe_broadcast(written(spark, probes.select("_id").distinct().join(pre.select("_id", "s1", "s2"), "_id"), "left"), max_broadcast_rows)
+    again = _sets(src.join(left.select("_id"), "_id", "left_semi"), k, percent, "whole").join(left, ["_id", "s1", "s2"], "left_semi")
+    whole = written(spark, again.select("_id", "n", "tokens"), "whole-sets", "snappy")
     flat = whole.select("_id", "n", F.explode("tokens").alias("token"))
     both = flat.groupBy("token").agg(F.count("*").alias("held")).where("held > 1").select("token")
     sets = flat.join(both, "token").groupBy("_id", "n").agg(F.collect_list("token").alias("tokens"))
@@ -152,20 +149,24 @@ def jaccard_links(classes: DataFrame, src: DataFrame, k: int, percent: int, max_
         .select(F.col("group").alias("g"), F.explode("tokens").alias("token")).groupBy("g", "token").agg(F.count("*").alias("held"))
     )
     asking = ask.join(sets.select("_id", "tokens"), "_id").select("_id", "n", "g", "least", "inside", F.explode("tokens").alias("token"))
+    # Any member that links misses at most upto - need of the query's tokens in the union, so it holds one of
+    # the upto - need + 1 that the fewest members hold.
+    pair = Window.partitionBy("_id", "g")
+    need = F.ceil((F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100))) * percent / (100 + percent))
     bound = (
         asking.join(matrix, ["g", "token"]).where("not inside or held > 1")
-        .groupBy("_id", "n", "g", "least").agg(F.count("*").alias("upto"))
-        .where(F.col("upto") * (100 + percent) >= (F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100))) * percent)
-        .select("_id", "g", "upto")
+        .withColumns({"upto": F.count("*").over(pair), "rank": F.row_number().over(pair.orderBy("held", "token")), "need": need})
+        .where("rank <= upto - need + 1").select("_id", "n", "g", "upto", "token")
     )
     bound = written(spark, bound, "qualified")
 
-    # Opened groups: members that share a probe token, of a size within reach.
-    mine = live.join(bound, "_id").select("_id", "n", "g", "upto", "token")
-    theirs = live.select(F.col("_id").alias("m"), F.col("n").alias("mn"), F.col("reach").alias("mreach"), F.col("group").alias("g"), "token")
+    # Opened groups: members that hold one of these, of a size within reach.
+    opened = bound.select("g").distinct()
+    inside = home.join(opened, F.col("group") == F.col("g"), "left_semi").join(sets, "_id")
+    theirs = inside.select(F.col("_id").alias("m"), F.col("n").alias("mn"), F.col("reach").alias("mreach"), F.col("group").alias("g"), F.explode("tokens").alias("token"))
     fits = (F.col("mn") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("mn") * 100) & (F.col("n") <= F.col("mreach"))
     fits = fits & (F.col("upto") * (100 + percent) >= (F.col("n") + F.col("mn")) * percent) & (F.col("_id") != F.col("m"))
-    open_ = mine.join(theirs, ["g", "token"]).where(fits).select(F.least("_id", "m").alias("a"), F.greatest("_id", "m").alias("b")).distinct()
+    open_ = bound.join(theirs, ["g", "token"]).where(fits).select(F.least("_id", "m").alias("a"), F.greatest("_id", "m").alias("b")).distinct()
     return star.select("a", "b").unionByName(verified(open_, sets, percent))
 
 
@@ -182,15 +183,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, n_shingles, class_id (smallest id with an equal set), component_id of every row."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    base = written(spark, _sets(src, k, percent, "signature"), "signatures")
+    base = written(spark, _sets(src, k, percent, "prefix"), "prefixes", "snappy")
     taking_part = base.where("_id is not null and n > 0")
-    one = taking_part.groupBy("_id").agg(F.min(F.struct("n", "s1", "s2")).alias("s")).select("_id", "s.*")
+    one = taking_part.groupBy("_id").agg(F.min(F.struct("n", "s1", "s2")).alias("s"), F.count("*").alias("rows")).select("_id", "s.*", "rows")
     reps = one.groupBy("n", "s1", "s2").agg(F.min("_id").alias("rep"))
-    member = written(spark, one.join(reps, ["n", "s1", "s2"]).select("_id", "n", "s1", "s2", "rep"), "classes")
-    classes = member.where("_id = rep").select("_id", "s1", "s2")
-    repeats = base.where("_id is not null").groupBy("_id").count().where("count > 1").limit(1).count()
+    member = written(spark, one.join(reps, ["n", "s1", "s2"]).select("_id", "n", "s1", "s2", "rep", "rows"), "classes")
+    copies = member.where("_id <> rep").select("_id")
+    pre = taking_part.join(_maybe_broadcast(copies, max_broadcast_rows), "_id", "left_anti")
+    repeated = member.where("_id = rep and rows > 1").select("_id", "s1", "s2")
     part = src.where("_id is not null")
-    links = jaccard_links(classes, part.dropDuplicates(["_id", "_t"]) if repeats else part, k, percent, max_broadcast_rows)
+    if repeated.limit(1).count():  # ids of several rows: one row of the chosen signature
+        chosen = pre.join(repeated, ["_id", "s1", "s2"], "left_semi").dropDuplicates(["_id"])
+        pre = pre.join(repeated.select("_id"), "_id", "left_anti").unionByName(chosen.select(pre.columns))
+        part = part.dropDuplicates(["_id", "_t"])
+    links = jaccard_links(pre, part, k, percent, max_broadcast_rows)
     found = components(written(spark, links, "jaccard-links"))
     named = member.select("_id", "rep").join(found, F.col("rep") == F.col("node"), "left").select("_id", "rep", F.coalesce("component", "rep").alias("component"))
     return base.join(named, "_id", "left").select(
