@@ -4,13 +4,14 @@ Equal sets are one class, of which the smallest id stands for all. Then, with o
 
 1. Prefix. In the order of their hashes a class emits its first ``n - o + slack`` tokens. Any two linked
    classes share at least ``slack`` of these. Tokens that no other class emits are counted and left; of
-   the rest, the rarest that still must contain a shared one are kept (the probe tokens). Classes
-   without probe tokens have no link. Rare-first probing keeps passages that many texts share out of it.
+   the rest, the rarest that still must contain ``common_probes`` shared ones are kept (the probe
+   tokens). Classes without probe tokens have no link. Rare-first probing keeps passages that many texts
+   share out of it.
 2. Groups. For each probe token the class most of whose tokens occur elsewhere too is the token's leader; a
    class belongs to the leader named by most of its tokens. Classes linked to their leader, checked
    exactly, form its linked group; the others of a leader are grouped by size.
 3. Matrix. Each group stores the union of its members' tokens with counts, smallest size and largest
-   reach. A class queries the groups with which it shares a probe token, except its own linked group. A
+   reach. A class queries the groups with which it shares enough probe tokens, except its own linked group. A
    group is passed over if sizes forbid a link, first by how many of the query's tokens occur anywhere
    else, then by how many occur in the group (its own left out).
 4. Only groups that qualify are opened: a member that links holds at least one of the few tokens of the
@@ -34,7 +35,8 @@ from .common import table, written
 from .components import components
 from .shingles import WORDS_PER_SHINGLE, shingle_sets, signature
 
-SLACK = 0.08  # of n
+SLACK = 0.1  # of n
+UNION_TOKENS = 200_000  # a group's union up to this size is one row
 
 
 def needed(n: int, percent: int = 80) -> int:
@@ -50,10 +52,15 @@ def prefix_size(n: int, percent: int = 80) -> int:
     return min(n, n - needed(n, percent) + slack(n))
 
 
+def common_probes(n: int) -> int:
+    """Linked sets share at least this many probe tokens, n being the smaller one's size."""
+    return max(1, slack(n) // 2)
+
+
 def probe_size(n: int, percent: int = 80) -> int:
-    """A linked set has at least needed(n) tokens, so at least slack(needed(n)) are shared in the prefixes."""
+    """A partner has at least needed(n) tokens, so the two prefixes share at least slack(needed(n))."""
     p = prefix_size(n, percent)
-    return min(p, p - slack(needed(n, percent)) + 1)
+    return min(p, p - slack(needed(n, percent)) + common_probes(n))
 
 
 def _maybe_broadcast(df: DataFrame, limit: int) -> DataFrame:
@@ -140,29 +147,41 @@ def jaccard_links(pre: DataFrame, src: DataFrame, k: int, percent: int, max_broa
     larger = F.struct(F.col("members"), F.col("g")) > F.struct(F.col("own_members"), F.col("group"))
     apart = ((F.col("g") == F.col("group")) & (F.col("g.size_class") >= 0) & (F.col("members") > 1)) | ((F.col("g") != F.col("group")) & larger)
     ask = own.join(holders, "token").where(apart & (F.col("least") <= F.col("reach")) & (F.col("n") <= F.col("farthest")))
-    ask = written(spark, ask.select("_id", "n", "g", "least", (F.col("g") == F.col("group")).alias("inside")).distinct(), "queries")
-
-    # The matrix: the token unions of the groups that are asked for, and the bound.
+    least_n = F.ceil(F.col("n") * percent / 100)
+    fewest = F.greatest(F.lit(1), F.floor(F.greatest(F.lit(1), F.floor(least_n * F.lit(SLACK) - F.lit(1e-9))) / 2))
+    ask = ask.groupBy("_id", "n", "g", "least", (F.col("g") == F.col("group")).alias("inside")).agg(F.count("*").alias("met")).where(F.col("met") >= fewest)
+    ask = written(spark, ask.drop("met"), "queries")
+
+    # The matrix: the token unions of the groups that are asked for. Members of large groups lie together by
+    # group; before their tokens are spread out they are dealt evenly.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = ask.select("g").distinct()
-    matrix = (
-        sets.join(home, "_id").join(asked, F.col("group") == F.col("g"), "left_semi")
-        .select(F.col("group").alias("g"), F.explode("tokens").alias("token")).groupBy("g", "token").agg(F.count("*").alias("held"))
-    )
-    asking = ask.join(sets.select("_id", "tokens"), "_id").select("_id", "n", "g", "least", "inside", F.explode("tokens").alias("token"))
+    inside = home.join(asked, F.col("group") == F.col("g"), "left_semi").join(sets, "_id").repartition(tasks)
+    matrix = inside.select(F.col("group").alias("g"), F.explode("tokens").alias("token")).groupBy("g", "token").agg(F.count("*").alias("held"))
+    matrix = written(spark, matrix, "matrix")
+    large = matrix.groupBy("g").count().where(F.col("count") > UNION_TOKENS).select("g")
+    any_large = large.limit(1).count() > 0
+
     # Any member that links misses at most upto - need of the query's tokens in the union, so it holds one of
     # the upto - need + 1 that the fewest members hold.
-    pair = Window.partitionBy("_id", "g")
-    need = F.ceil((F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100))) * percent / (100 + percent))
-    bound = (
-        asking.join(matrix, ["g", "token"]).where("not inside or held > 1")
-        .withColumns({"upto": F.count("*").over(pair), "rank": F.row_number().over(pair.orderBy("held", "token")), "need": need})
-        .where("rank <= upto - need + 1").select("_id", "n", "g", "upto", "token")
-    )
+    need = F.ceil((F.col("n") + F.greatest("least", least_n)) * percent / (100 + percent))
+    unions = (matrix.join(large, "g", "left_anti") if any_large else matrix).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("union"))
+    others = F.filter("union", lambda x: ~F.col("inside") | (x["held"] > 1))
+    hits = F.array_intersect(F.transform(others, lambda x: x["token"]), F.col("tokens"))  # in the order of the union
+    met = ask.join(unions, "g").join(sets.select("_id", "tokens"), "_id").withColumn("hits", hits).withColumns({"upto": F.size("hits"), "need": need})
+    bound = met.where("upto >= need").select("_id", "n", "g", "upto", F.explode(F.slice("hits", F.lit(1), (F.col("upto") - F.col("need") + 1).cast("int"))).alias("token"))
+    if any_large:  # unions too large for one row: the same, token by token
+        pair = Window.partitionBy("_id", "g")
+        asking = ask.join(large, "g", "left_semi").join(sets.select("_id", "tokens"), "_id").select("_id", "n", "g", "least", "inside", F.explode("tokens").alias("token"))
+        rows = asking.join(matrix, ["g", "token"]).where("not inside or held > 1").withColumns(
+            {"upto": F.count("*").over(pair).cast("int"), "rank": F.row_number().over(pair.orderBy("held", "token")), "need": need}
+        )
+        bound = bound.unionByName(rows.where("rank <= upto - need + 1").select("_id", "n", "g", "upto", "token"))
     bound = written(spark, bound, "qualified")
 
     # Opened groups: members that hold one of these, of a size within reach.
     opened = bound.select("g").distinct()
-    inside = home.join(opened, F.col("group") == F.col("g"), "left_semi").join(sets, "_id")
+    inside = home.join(opened, F.col("group") == F.col("g"), "left_semi").join(sets, "_id").repartition(tasks)
     theirs = inside.select(F.col("_id").alias("m"), F.col("n").alias("mn"), F.col("reach").alias("mreach"), F.col("group").alias("g"), F.explode("tokens").alias("token"))
     fits = (F.col("mn") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("mn") * 100) & (F.col("n") <= F.col("mreach"))
     fits = fits & (F.col("upto") * (100 + percent) >= (F.col("n") + F.col("mn")) * percent) & (F.col("_id") != F.col("m"))
