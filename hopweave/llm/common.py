@@ -32,7 +32,17 @@ def written(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd")
     """df as a table in the shared folder: lineage ends here and lost executors cost no recomputation."""
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables made by written(), once all that is computed from them has itself been written."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(col):

@@ -31,11 +31,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 from .components import components
 from .shingles import WORDS_PER_SHINGLE, shingle_sets, signature
 
-SLACK = 0.1  # of n
+SLACK = 0.06  # of n
 UNION_TOKENS = 200_000  # a group's union up to this size is one row
 
 
@@ -91,8 +91,10 @@ def _sets(docs: DataFrame, k: int, percent: int, what: str) -> DataFrame:
     return docs.mapInPandas(run, f"_id {kind}, n long, s1 long, s2 long{cols}")
 
 
-def jaccard_links(pre: DataFrame, src: DataFrame, k: int, percent: int, max_broadcast_rows: int, size_step: float = 1.03) -> DataFrame:
-    """Links a, b between classes. pre: _id, n, s1, s2, p, probe, tokens of one row of each; src: _id, _t."""
+def jaccard_links(pre: DataFrame, src: DataFrame, k: int, percent: int, max_broadcast_rows: int, after_prefix=lambda: None, size_step: float = 1.03) -> DataFrame:
+    """Links a, b between classes. pre: _id, n, s1, s2, p, probe, tokens of one row of each; src: _id, _t.
+
+    after_prefix is called once pre is no longer read."""
     spark = src.sparkSession
     rows = pre.select("_id", "n", "p", "probe", F.explode("tokens").alias("token"))
     held = rows.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
@@ -106,6 +108,8 @@ def jaccard_links(pre: DataFrame, src: DataFrame, k: int, percent: int, max_broa
 
     # Whole sets of the classes that are left, and how many of their tokens others of these hold too.
     left = _maybe_broadcast(written(spark, probes.select("_id").distinct().join(pre.select("_id", "s1", "s2"), "_id"), "left"), max_broadcast_rows)
+    discard(shared)
+    after_prefix()
     again = _sets(src.join(left.select("_id"), "_id", "left_semi"), k, percent, "whole").join(left, ["_id", "s1", "s2"], "left_semi")
     whole = written(spark, again.select("_id", "n", "tokens"), "whole-sets", "snappy")
     flat = whole.select("_id", "n", F.explode("tokens").alias("token"))
@@ -114,7 +118,8 @@ def jaccard_links(pre: DataFrame, src: DataFrame, k: int, percent: int, max_broa
     # With i shared tokens at most, a partner has at most i * (100 + percent) / percent - n.
     reach = F.floor(F.size("tokens") * F.lit(100 + percent) / F.lit(percent) - F.col("n") + F.lit(1e-6))
     sets = sets.withColumn("reach", reach).where(F.col("reach") * 100 >= F.col("n") * percent)
-    sets = written(spark, sets, "sets")
+    sets = written(spark, sets, "sets", "snappy")
+    discard(whole)
     facts = sets.select("_id", "reach", (F.size("tokens") / F.col("n")).alias("centre"))
     live = written(spark, probes.join(facts, "_id"), "live-probes")
 
@@ -202,20 +207,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, n_shingles, class_id (smallest id with an equal set), component_id of every row."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    base = written(spark, _sets(src, k, percent, "prefix"), "prefixes", "snappy")
+    prefixes = written(spark, _sets(src, k, percent, "prefix"), "prefixes", "snappy")
+    base = written(spark, prefixes.select("_id", "n", "s1", "s2"), "signatures")
     taking_part = base.where("_id is not null and n > 0")
     one = taking_part.groupBy("_id").agg(F.min(F.struct("n", "s1", "s2")).alias("s"), F.count("*").alias("rows")).select("_id", "s.*", "rows")
     reps = one.groupBy("n", "s1", "s2").agg(F.min("_id").alias("rep"))
     member = written(spark, one.join(reps, ["n", "s1", "s2"]).select("_id", "n", "s1", "s2", "rep", "rows"), "classes")
     copies = member.where("_id <> rep").select("_id")
-    pre = taking_part.join(_maybe_broadcast(copies, max_broadcast_rows), "_id", "left_anti")
+    pre = prefixes.where("_id is not null and n > 0").join(_maybe_broadcast(copies, max_broadcast_rows), "_id", "left_anti")
     repeated = member.where("_id = rep and rows > 1").select("_id", "s1", "s2")
     part = src.where("_id is not null")
     if repeated.limit(1).count():  # ids of several rows: one row of the chosen signature
         chosen = pre.join(repeated, ["_id", "s1", "s2"], "left_semi").dropDuplicates(["_id"])
         pre = pre.join(repeated.select("_id"), "_id", "left_anti").unionByName(chosen.select(pre.columns))
         part = part.dropDuplicates(["_id", "_t"])
-    links = jaccard_links(pre, part, k, percent, max_broadcast_rows)
+    links = jaccard_links(pre, part, k, percent, max_broadcast_rows, lambda: discard(prefixes))
     found = components(written(spark, links, "jaccard-links"))
     named = member.select("_id", "rep").join(found, F.col("rep") == F.col("node"), "left").select("_id", "rep", F.coalesce("component", "rep").alias("component"))
     return base.join(named, "_id", "left").select(
