@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -52,3 +53,30 @@ def ascii_lower(col):
 def id_bucket(col, buckets: int):
     """crc32 of the id as decimal text, modulo buckets: the fold rule of the labelled operators."""
     return F.crc32(col.cast("string").cast("binary")) % F.lit(buckets)
+
+
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """While jobs run here, Python workers get batches of at most so many rows: long texts fit in memory."""
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
+def give_back() -> None:
+    """Returns a Python worker's free memory to the system; idle workers then hold little."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

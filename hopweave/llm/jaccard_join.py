@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, table, written
+from .common import discard, give_back, small_batches, table, written
 from .components import components
 from .shingles import WORDS_PER_SHINGLE, shingle_sets, signature
 
@@ -77,8 +77,8 @@ def _sets(docs: DataFrame, k: int, percent: int, what: str) -> DataFrame:
         import pandas as pd
 
         for batch in batches:
-            for i in range(0, len(batch), 1000):
-                part = batch.iloc[i : i + 1000]
+            for i in range(0, len(batch), 250):
+                part = batch.iloc[i : i + 250]
                 sets = list(shingle_sets(part["_t"].tolist(), k))
                 sig = [signature(s) for s in sets]
                 out = {"_id": part["_id"].tolist(), "n": [len(s) for s in sets], "s1": [a for a, _ in sig], "s2": [b for _, b in sig]}
@@ -87,6 +87,7 @@ def _sets(docs: DataFrame, k: int, percent: int, what: str) -> DataFrame:
                     sets = [s[:p] for s, p in zip(sets, out["p"], strict=True)]
                 out["tokens"] = [s.view(np.int64) for s in sets]
                 yield pd.DataFrame(out)
+        give_back()
 
     return docs.mapInPandas(run, f"_id {kind}, n long, s1 long, s2 long{cols}")
 
@@ -111,7 +112,8 @@ def jaccard_links(pre: DataFrame, src: DataFrame, k: int, percent: int, max_broa
     discard(shared)
     after_prefix()
     again = _sets(src.join(left.select("_id"), "_id", "left_semi"), k, percent, "whole").join(left, ["_id", "s1", "s2"], "left_semi")
-    whole = written(spark, again.select("_id", "n", "tokens"), "whole-sets", "snappy")
+    with small_batches(spark):
+        whole = written(spark, again.select("_id", "n", "tokens"), "whole-sets", "snappy")
     flat = whole.select("_id", "n", F.explode("tokens").alias("token"))
     both = flat.groupBy("token").agg(F.count("*").alias("held")).where("held > 1").select("token")
     sets = flat.join(both, "token").groupBy("_id", "n").agg(F.collect_list("token").alias("tokens"))
@@ -207,7 +209,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, n_shingles, class_id (smallest id with an equal set), component_id of every row."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    prefixes = written(spark, _sets(src, k, percent, "prefix"), "prefixes", "snappy")
+    with small_batches(spark):
+        prefixes = written(spark, _sets(src, k, percent, "prefix"), "prefixes", "snappy")
     base = written(spark, prefixes.select("_id", "n", "s1", "s2"), "signatures")
     taking_part = base.where("_id is not null and n > 0")
     one = taking_part.groupBy("_id").agg(F.min(F.struct("n", "s1", "s2")).alias("s"), F.count("*").alias("rows")).select("_id", "s.*", "rows")

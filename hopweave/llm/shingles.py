@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 WORDS_PER_SHINGLE = 5
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
