@@ -29,10 +29,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df as a table in the shared folder: lineage ends here and lost executors cost no recomputation."""
     path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    # Row groups of 16 MB: what a task buffers stays small beside its sort and shuffle memory.
+    df.write.option("compression", codec).option("parquet.block.size", 16 << 20).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
