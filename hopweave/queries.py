@@ -66,12 +66,15 @@ stop AS (SELECT coalesce(min(it), {k}) AS k FROM (SELECT it, max(f) AS m FROM b
 ranks AS (SELECT node, sum(f) AS p FROM b GROUP BY node)""", True)
 
 
-P6 = F.round("p", 6).alias("p")
+def p6():
+    return F.round("p", 6).alias("p")
+
+
 P6_SQL = "\nSELECT node, round(p, 6) AS p FROM ranks"
 
 
 def _ranks(mode: str, k: int | None = None):
-    return lambda g: pagerank.pagerank(g, mode, k).state.select("node", P6)
+    return lambda g: pagerank.pagerank(g, mode, k).state.select("node", p6())
 
 
 def _first_hop(g: Graph):
@@ -97,7 +100,7 @@ def _dd_step(g: Graph, rounds: int = 30):
         state = pagerank.push(state, moves, "data_driven")
         if k % 10 == 9:
             state = cut(state)
-    return state.select(F.col("id").alias("node"), P6, (F.col("passed") > 0).alias("active"))
+    return state.select(F.col("id").alias("node"), p6(), (F.col("passed") > 0).alias("active"))
 
 
 _QUERIES = {
@@ -150,7 +153,7 @@ _QUERIES = {
         f"{DEG_SQL}\nSELECT id, 0.15::DOUBLE AS p, 0.0::DOUBLE AS r, round(CASE WHEN out_degree > 0 THEN 0.85::DOUBLE * (1 - 0.85::DOUBLE) / out_degree END, 9) AS out FROM deg"),
     "pr_push_once": ("succ", lambda g: fr.aggregate_messages(pagerank.initial(g), g.edges, F.col("out"), F.sum).select("id", F.round("value", 6).alias("received")),
         f"{DEG_SQL}\nSELECT dst AS id, round(sum(0.85::DOUBLE * 0.15::DOUBLE / out_degree), 6) AS received FROM e JOIN deg ON deg.id = e.src GROUP BY 1"),
-    "pr_step": ("succ", lambda g: pagerank.push(pagerank.start(g), pagerank.weighted(g)).select("id", P6, F.round("passed", 6).alias("passed")),
+    "pr_step": ("succ", lambda g: pagerank.push(pagerank.start(g), pagerank.weighted(g)).select("id", p6(), F.round("passed", 6).alias("passed")),
         f"{DEG_SQL}, s AS (SELECT dst AS id, sum(0.85::DOUBLE * 0.15::DOUBLE / out_degree) AS t FROM e JOIN deg ON deg.id = e.src GROUP BY 1)\n"
         "SELECT node AS id, round(0.15 + coalesce(t, 0), 6) AS p, round(coalesce(t, 0), 6) AS passed FROM v LEFT JOIN s ON s.id = v.node"),
     "pr_topology_k10": ("succ", _ranks("topology", 10), _ranks_sql("succ", "topology", 10) + P6_SQL),
@@ -168,7 +171,7 @@ _QUERIES = {
         _ranks_sql("succ", "topology", 10) + "\nSELECT round(sum(p), 4) AS rank_sum, count(*) AS nodes FROM ranks"),
     "pr_output": ("chain", _ranks("topology", 10), _ranks_sql("chain", "topology", 10) + P6_SQL),
     "pr_nodes_only": ("succ", lambda g: pagerank.pagerank(g, max_rounds=2).state.select("node"), _ranks_sql("succ", "topology", 2) + "\nSELECT node FROM ranks"),
-    "pr_top_k": ("succ", lambda g: pagerank.top(pagerank.pagerank(g, max_rounds=10).state, 20).select("node", P6), _ranks_sql("succ", "topology", 10) + "\nSELECT node, round(p, 6) AS p FROM (SELECT * FROM ranks ORDER BY p DESC, node LIMIT 20)"),
+    "pr_top_k": ("succ", lambda g: pagerank.top(pagerank.pagerank(g, max_rounds=10).state, 20).select("node", p6()), _ranks_sql("succ", "topology", 10) + "\nSELECT node, round(p, 6) AS p FROM (SELECT * FROM ranks ORDER BY p DESC, node LIMIT 20)"),
     "pr_normalized": ("succ", lambda g: pagerank.normalised(pagerank.pagerank(g, max_rounds=10).state).select("node", F.round("p", 9).alias("p")),
         _ranks_sql("succ", "topology", 10) + "\nSELECT node, round(p / sum(p) OVER (), 9) AS p FROM ranks"),
 }
