@@ -177,7 +177,8 @@ def train(spark: SparkSession, labelled: DataFrame | None = None, trees: int = 2
     found = candidates(labelled.where("label is not null"), "text", F.col("path"), {"label": F.col("label").cast("double")})
     rows = written(spark, with_features(found).select("label", *[f"f_{k}" for k in FEATURES]).coalesce(4), "labelled-findings")
     rows = VectorAssembler(inputCols=[f"f_{k}" for k in FEATURES], outputCol="features").transform(rows)
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(rows)
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(rows)
+    return forest.copy()  # without the training summary, which holds the session and cannot go to executors
 
 
 def scan_secrets(docs: DataFrame, forest, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from hopweave.llm import components, exact_dedup, gif, jaccard_join, langid, packing, pieces, quality, secrets, shingles, url_filter, warc
@@ -340,6 +341,9 @@ def test_secrets(spark):
     text = f'one two token = "{key}" three; commit {digest} and ann.12345@mail7.example.com, 4111111111111111 end. password: hunter2XyZ99'
     rows = [(1, text), (2, None), (3, ""), (4, "plain words only"), (1, text), (5, f"x{' y' * 50_000} token={key}")]
     forest = secrets.train(spark)
+    assert not forest.hasSummary
+    seen = Observation()  # a session that has observed anything can't be sent to executors
+    spark.range(3).observe(seen, F.count("*").alias("n")).collect()
     got = secrets.scan_secrets(docs(spark, rows), forest).collect()
     found = {(r["doc_id"], r["value"]): r["is_secret"] for r in got}
     assert found[1, key] and found[5, key] and not found[1, digest] and not found[1, "4111111111111111"] and found[1, "hunter2XyZ99"]
