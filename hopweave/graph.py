@@ -34,10 +34,6 @@ class Graph:
             n = 0 if top is None else top + 1
         return cls(edges.sparkSession.range(n), edges)
 
-    def by_source(self) -> Graph:
-        """Edges kept in memory (spilling to disk), dealt by source as every traversal joins them."""
-        return Graph(self.vertices, self.edges.repartition("src").persist())
-
     def degrees(self) -> DataFrame:
         """id, out_degree of every vertex, 0 for those without out-edges."""
         counted = self.edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_degree"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..plans.dealing import Dealt, deal
 from ..plans.fixpoint import Outcome, cut, iterate
 from . import frontier as fr
 
@@ -24,7 +25,7 @@ def initial(graph: Graph, source: int) -> DataFrame:
     return graph.vertices.select("id", F.when(F.col("id") == source, F.lit(0).cast("long")).alias("level"))
 
 
-def one_hop(active: DataFrame, visited: DataFrame, edges: DataFrame, level: int, size: int | None = None) -> DataFrame:
+def one_hop(active: DataFrame, visited: DataFrame, edges: DataFrame | Dealt, level: int, size: int | None = None) -> DataFrame:
     """id, level of the vertices first reached from active."""
     reached = fr.expand(active, edges, size).select(F.col("dst").alias("id")).distinct()
     return fr.not_visited(reached, visited).withColumn("level", F.lit(level).cast("long"))
@@ -33,19 +34,19 @@ def one_hop(active: DataFrame, visited: DataFrame, edges: DataFrame, level: int,
 def data_driven(graph: Graph, source: int = 0, merge_every: int = 16) -> Outcome:
     """Only the frontier is expanded; every level is cut and the levels are joined at the end."""
     _checked(graph, source)
-    g = graph.by_source()
-    levels = [cut(g.vertices.where(F.col("id") == source).select("id", F.lit(0).cast("long").alias("level")))]
+    edges = deal(graph.edges)
+    levels = [cut(graph.vertices.where(F.col("id") == source).select("id", F.lit(0).cast("long").alias("level")))]
     size, level = 1, 0
     while size:
         level += 1
         visited = reduce(DataFrame.unionByName, levels)
-        new = cut(one_hop(levels[-1].select("id"), visited, g.edges, level, size))
+        new = cut(one_hop(levels[-1].select("id"), visited, edges, level, size))
         size = new.count()
         if size:
             levels.append(new)
         if len(levels) > merge_every:
             levels = [cut(reduce(DataFrame.unionByName, levels[:-1])), levels[-1]]
-    out = g.vertices.join(reduce(DataFrame.unionByName, levels), "id", "left").select("id", "level")
+    out = graph.vertices.join(reduce(DataFrame.unionByName, levels), "id", "left").select("id", "level")
     return Outcome(out, level, True)
 
 
@@ -60,12 +61,11 @@ def topology(graph: Graph, source: int = 0, rounds_per_job: int = 8) -> Outcome:
     """All edges every round until no level falls. A vertex keeps its level through an edge to itself that
     adds nothing, so that a round is one join and one aggregate."""
     _checked(graph, source)
-    moves = graph.edges.select("src", "dst", F.lit(1).alias("hop")).unionByName(
-        graph.vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("hop"))
-    ).repartition("src").persist()
+    own = graph.vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("hop"))
+    moves = deal(graph.edges.select("src", "dst", F.lit(1).alias("hop")), own)
 
     def step(state: DataFrame, _: int) -> DataFrame:
-        sent = state.join(moves, F.col("id") == F.col("src")).select(
+        sent = moves.out_edges(state).select(
             "dst", (F.col("level") + F.col("hop")).alias("got"), F.when(F.col("hop") == 0, F.col("level")).alias("own")
         )
         new = sent.groupBy(F.col("dst").alias("id")).agg(F.min("got").alias("level"), F.min("own").alias("own"))

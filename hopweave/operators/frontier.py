@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..plans import numbering
+from ..plans.dealing import Dealt
 
 #: Out-degrees from which a vertex counts as heavy and as medium. Fixed values.
 HEAVY, MEDIUM = 256, 32
@@ -14,10 +15,10 @@ HEAVY, MEDIUM = 256, 32
 BROADCAST_IDS = 1_000_000
 
 
-def expand(frontier: DataFrame, edges: DataFrame, size: int | None = None) -> DataFrame:
+def expand(frontier: DataFrame, edges: DataFrame | Dealt, size: int | None = None) -> DataFrame:
     """src, dst of every out-edge of the frontier (id), repeated edges kept. size: its counted rows."""
-    side = F.broadcast(frontier) if size is not None and size <= BROADCAST_IDS else frontier
-    return edges.join(side, edges["src"] == side["id"]).select("src", "dst")
+    edges = edges if isinstance(edges, Dealt) else Dealt(edges, None)
+    return edges.out_edges(frontier.select("id"), size is not None and size <= BROADCAST_IDS).select("src", "dst")
 
 
 def dedupe(frontier: DataFrame) -> DataFrame:

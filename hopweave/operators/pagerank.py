@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..plans.dealing import Dealt, deal
 from ..plans.fixpoint import Outcome, iterate
 
 #: Damping and the residual below which nothing is passed on. Fixed values.
@@ -31,11 +32,11 @@ def residual_start(graph: Graph, alpha: float = ALPHA) -> DataFrame:
     return graph.vertices.join(got, "id", "left").select("id", (F.coalesce("s", F.lit(0.0)) * alpha * (1 - alpha)).alias("residual"))
 
 
-def weighted(graph: Graph, alpha: float = ALPHA) -> DataFrame:
+def weighted(graph: Graph, alpha: float = ALPHA) -> Dealt:
     degree = graph.edges.groupBy("src").agg(F.count("*").alias("d"))
     edges = graph.edges.join(degree, "src").select("src", "dst", (F.lit(alpha) / F.col("d")).alias("w"), F.lit(0.0).alias("hold"))
     own = graph.vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w"), F.lit(1.0).alias("hold"))
-    return edges.unionByName(own).repartition("src").persist()
+    return deal(edges, own)
 
 
 def start(graph: Graph, alpha: float = ALPHA) -> DataFrame:
@@ -43,9 +44,9 @@ def start(graph: Graph, alpha: float = ALPHA) -> DataFrame:
     return graph.vertices.select("id", *[F.lit(x).alias(n) for n, x in (("p", 1 - alpha), ("passed", 1 - alpha), ("held", 0.0), ("total", 0.0))])
 
 
-def push(state: DataFrame, moves: DataFrame, mode: str = "topology", epsilon: float = EPSILON) -> DataFrame:
+def push(state: DataFrame, moves: Dealt, mode: str = "topology", epsilon: float = EPSILON) -> DataFrame:
     total = F.sum(F.col("passed") * F.col("w") + F.col("held") * F.col("hold")).alias("total")
-    sent = state.drop("total").join(moves, F.col("id") == F.col("src"))
+    sent = moves.out_edges(state.drop("total"))
     got = sent.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("hold")).alias("p"), total)
     active = {"topology": F.lit(True), "data_driven": F.col("total") >= epsilon, "residual": F.col("total") > epsilon}[mode]
     passed, held = F.when(active, F.col("total")).otherwise(0.0), F.when(active, F.lit(0.0)).otherwise(F.col("total"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .functions import in_range
 from .graph import Graph
 from .operators import bfs, pagerank
 from .operators import frontier as fr
-from .plans.fixpoint import cut
+from .plans.fixpoint import cut, shared_dir
 from .sources import tables
 from .sources.gr import invalid_edges, read_gr, write_gr
 
@@ -87,9 +89,7 @@ def _frontier(g: Graph):
 
 
 def _gr_roundtrip(spark, sf_dir):
-    import tempfile
-
-    path = f"{tempfile.mkdtemp()}/succ.gr"
+    path = f"{shared_dir(spark)}/succ-{uuid.uuid4().hex}.gr"
     write_gr(tables.successions(spark, sf_dir), path)
     return cut(read_gr(spark, path, strict=True, edges_per_task=10_000).edges)
 

@@ -23,8 +23,15 @@ HEADER = struct.Struct("<4Q")
 EDGES_PER_TASK, ROWS_PER_BATCH = 4_000_000, 65_536
 
 
+def _at(path: str):
+    """File system and path in it."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
 def _open(path: str):
-    fs, inner = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    fs, inner = _at(path)
     return fs.open_input_file(inner)
 
 
@@ -122,7 +129,8 @@ def read_gr(spark: SparkSession, path: str, strict: bool = False, edges_per_task
 def write_gr(graph: Graph, path: str) -> None:
     """One file, rows streamed through the driver in order, never held there."""
     nodes, edges = graph.vertices.count(), graph.edges.count()
-    with open(path, "wb") as f:
+    fs, inner = _at(path)
+    with fs.open_output_stream(inner, buffer_size=1 << 20) as f:
         f.write(HEADER.pack(1, 0, nodes, edges))
         end = 0
         for r in graph.degrees().orderBy("id").toLocalIterator():

@@ -8,6 +8,7 @@ from hopweave import cli
 from hopweave.graph import Graph
 from hopweave.operators import bfs, pagerank
 from hopweave.operators import frontier as fr
+from hopweave.plans import dealing
 from hopweave.sources.edge_list import read_edge_list, write_edge_list
 from hopweave.sources.gr import invalid_edges, read_gr, read_header, write_gr
 
@@ -101,6 +102,21 @@ def test_random_multigraphs(spark, seed):
     assert [(r["eid"], r["src"], r["dst"]) for r in g.numbered_edges().orderBy("eid").collect()] == [(k, *e) for k, e in enumerate(sorted(edges))]
 
 
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_hubs_are_split(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(dealing, "HUB_EDGES", 20)
+    monkeypatch.setattr(fr, "BROADCAST_IDS", broadcast)
+    rnd = random.Random(9)
+    n = 80
+    edges = [(7, rnd.randrange(n - 5)) for _ in range(150)] + [(rnd.randrange(40), rnd.randrange(50)) for _ in range(60)] + [(7, 3), (7, 3)]
+    g = graph(spark, edges, n)
+    dealt = dealing.deal(g.edges)
+    parts = {r["_part"] for r in dealt.edges.where("src = 7").select("_part").distinct().collect()}
+    assert len(parts) == -(-sum(s == 7 for s, _ in edges) // 20)
+    assert levels(bfs.data_driven(g, 7)) == levels(bfs.topology(g, 7)) == _plain_levels(n, edges, 7)
+    assert ranks(pagerank.pagerank(g, max_rounds=6)) == pytest.approx(_plain_ranks(n, edges, 6))
+
+
 def test_degree_classes_at_their_edges(spark):
     edges = [(i, 9) for i, d in enumerate([31, 32, 255, 256]) for _ in range(d)]
     got = {r["id"]: r["degree_class"] for r in fr.degree_classes(graph(spark, edges)).collect()}
