@@ -353,3 +353,13 @@ def test_secrets(spark):
     assert len(clean) == len(rows) and all(key not in (r["text"] or "") for r in clean) and any(digest in (r["text"] or "") for r in clean)
     assert {r["doc_id"]: r["text"] for r in clean}[4] == "plain words only"
     assert secrets.scan_secrets(docs(spark, []), forest).count() == 0
+
+
+def test_forest_on_held_out_examples(spark):
+    part = F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(4))
+    rows = secrets.example_findings(spark, 4_000).withColumn("doc_id", F.xxhash64("text")).cache()
+    forest = secrets.train(spark, rows.where(part != 2))
+    held = rows.where(part == 2)
+    got = secrets.scan_secrets(held, forest, path_col="path").join(held.select("doc_id", "label").distinct(), "doc_id")
+    wrong, n = got.agg(F.count_if(F.col("is_secret") != (F.col("label") == 1)), F.count("*")).first()
+    assert n > 700 and wrong <= n * 0.02
