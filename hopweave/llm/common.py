@@ -47,6 +47,29 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column (names differ in more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+HOT_GROUPS = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, total: int) -> DataFrame:
+    """rows left-joined with groups, which has one row per key and in size_col the key's number of rows.
+
+    A key with more than total / HOT_GROUPS rows is hot. There are fewer than HOT_GROUPS such keys however
+    large the input, so they are broadcast and their rows stay where they are; the rest is shuffled, and
+    none of its keys gathers more than that share. groups is read three times: give a written table."""
+    hot = F.col(size_col) * HOT_GROUPS > total
+    few = groups.where(hot)
+    many = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(groups.where(~hot), keys, "left")
+    return rows.join(F.broadcast(few), keys).unionByName(many)
+
+
 def ascii_lower(col):
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)
 

@@ -7,12 +7,13 @@ have their full content hashed (SHA-256) and grouped by it.
 No text is ever shuffled: each round scans the input and shuffles lengths and hashes alone. The keys of
 surviving groups are broadcast only after their number was counted and found below
 ``max_broadcast_groups``; above it every row's full hash is computed in the scan, which reads more but
-gives the same rows.
+gives the same rows. Groups that hold more than a thousandth of all rows, fewer than 1,000, are joined by
+broadcast, so that no task gets all copies of a hot text.
 
 Defined cases: null text counts as the empty text; all empty texts form one group; rows that repeat both
 id and text belong to one group like any others and share ``kept``; an empty input gives an empty
-result; columns of the input other than id, text and ``carry`` are not looked at, so clashing names are
-harmless. The row with the largest id of a group stays (null ids lose).
+result; columns of the input other than id, text and ``carry`` are not looked at, and helper columns take
+names that the input lacks, so clashing names are harmless. The row with the largest id of a group stays (null ids lose).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import fresh, join_groups, table, written
 
 PREFIX_CHARS = 64
 
@@ -68,7 +69,9 @@ def exact_dedup(
         marked.where("_full is not null").groupBy("_len", "_full")
         .agg(F.max("_id").alias("_keep"), F.count("*").alias("_size")).where("_size > 1")
     )
-    out = marked.join(sizes, ["_len", "_full"], "left")
+    # Rows that were settled early meet no group: they pass without a shuffle.
+    single = marked.where("_full is null").withColumns({"_keep": F.lit(None).cast(sizes.schema["_keep"].dataType), "_size": F.lit(None).cast("long")})
+    out = join_groups(marked.where("_full is not null"), written(spark, sizes, "dedup-sizes"), ["_len", "_full"], "_size", marked.count()).unionByName(single)
     keep = F.coalesce("_keep", "_id")
     return out.select(
         F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).alias("group_size"),
@@ -82,15 +85,16 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows that go are anti-joined by id and a hash of the text (so that a null id drops no other row).
     Of rows that repeat both, one stays.
     """
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    marked = written(docs.sparkSession, exact_dedup(docs, id_col, text_col, carry={"_dedup_key": key}), "dedup")
-    pairs = lambda df: df.select(F.col(id_col).alias("_dedup_id"), F.col("_dedup_key").alias("_dedup_hash")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_dedup_id")) & (key == F.col("_dedup_hash"))
+    spark, key = docs.sparkSession, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    the_id, the_hash = fresh(docs, "_dedup_id"), fresh(docs, "_dedup_hash")
+    marked = written(spark, exact_dedup(docs, id_col, text_col, carry={"_dedup_key": key}), "dedup")
+    pairs = lambda df: df.select(F.col(id_col).alias(the_id), F.col("_dedup_key").alias(the_hash)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(the_id)) & (key == F.col(the_hash))
     out = docs.join(pairs(marked.where("not kept")), same, "left_anti")
-    twice = written(docs.sparkSession, pairs(marked.where("kept").groupBy(id_col, "_dedup_key").count().where("count > 1")), "dedup-repeats")
+    twice = written(spark, pairs(marked.where("kept").groupBy(id_col, "_dedup_key").count().where("count > 1")), "dedup-repeats")
     if not twice.limit(1).count():
         return out
-    again = out.join(twice, same, "left_semi").withColumn("_dedup_key", key).dropDuplicates([id_col, "_dedup_key"]).drop("_dedup_key")
+    again = out.join(twice, same, "left_semi").withColumn(the_hash, key).dropDuplicates([id_col, the_hash]).drop(the_hash)
     return out.join(twice, same, "left_anti").unionByName(again)
 
 

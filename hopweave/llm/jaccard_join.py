@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, give_back, small_batches, table, written
+from .common import discard, give_back, join_groups, small_batches, table, written
 from .components import components
 from .shingles import WORDS_PER_SHINGLE, shingle_sets, signature
 
@@ -214,8 +214,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = written(spark, prefixes.select("_id", "n", "s1", "s2"), "signatures")
     taking_part = base.where("_id is not null and n > 0")
     one = taking_part.groupBy("_id").agg(F.min(F.struct("n", "s1", "s2")).alias("s"), F.count("*").alias("rows")).select("_id", "s.*", "rows")
-    reps = one.groupBy("n", "s1", "s2").agg(F.min("_id").alias("rep"))
-    member = written(spark, one.join(reps, ["n", "s1", "s2"]).select("_id", "n", "s1", "s2", "rep", "rows"), "classes")
+    one = written(spark, one, "ids")
+    reps = written(spark, one.groupBy("n", "s1", "s2").agg(F.min("_id").alias("rep"), F.count("*").alias("size")), "class-sizes")
+    member = join_groups(one, reps, ["n", "s1", "s2"], "size", one.count())  # a hot class is not gathered in one task
+    member = written(spark, member.select("_id", "n", "s1", "s2", "rep", "rows"), "classes")
     copies = member.where("_id <> rep").select("_id")
     pre = prefixes.where("_id is not null and n > 0").join(_maybe_broadcast(copies, max_broadcast_rows), "_id", "left_anti")
     repeated = member.where("_id = rep and rows > 1").select("_id", "s1", "s2")

@@ -9,7 +9,8 @@ response and the others are revisits that name it; smaller payloads are always r
 verifies each payload once against its digest and fails on a mismatch.
 
 Payloads are written by a scan with no shuffle of payloads where the repeated digests, counted first, are
-at most ``max_broadcast_groups``; beyond that by a join on the digest. The reading join is on the digest, a hot
+at most ``max_broadcast_groups``; beyond that by a join on the digest, in which the fewer than 1,000 digests with
+over a thousandth of all records are broadcast. The reading join is on the digest, a hot
 payload's records are split by adaptive execution.
 
 Defined cases: a null payload is empty; a null url leaves out WARC-Target-URI, CR and LF in a url are
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import join_groups, new_path, table
 
 VERSION, DATE = "WARC/1.1", "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -53,13 +54,16 @@ def write_archive(
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     src = df.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), payload.alias("_payload"))
     keyed = src.select("_id", "_url", "_payload", F.sha2("_payload", 256).alias("_digest"), F.octet_length("_payload").cast("long").alias("_n"))
-    firsts = keyed.groupBy("_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("_copies")).where("_copies > 1").select("_digest", "_first")
+    firsts = keyed.groupBy("_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("_copies")).where("_copies > 1")
     firsts.write.parquet(f"{path}/repeated")
     firsts = spark.read.schema(firsts.schema).parquet(f"{path}/repeated")
-    n = firsts.count()
-    side = F.broadcast(firsts) if n <= max_broadcast_groups else firsts
+    small = firsts.count() <= max_broadcast_groups
+    total = 0 if small else df.count()
 
-    heads = keyed.select("_id", "_url", "_digest", "_n").join(side, "_digest", "left")
+    def with_first(rows):
+        return rows.join(F.broadcast(firsts), "_digest", "left") if small else join_groups(rows, firsts, ["_digest"], "_copies", total)
+
+    heads = with_first(keyed.select("_id", "_url", "_digest", "_n"))
     again = (F.col("_n") >= min_revisit_bytes) & (F.col("_first") != F.col("_id"))
     kind = F.when(F.coalesce(again, F.lit(False)), F.lit("revisit")).otherwise(F.lit("response"))
     heads.select(
@@ -69,7 +73,7 @@ def write_archive(
 
     # A repeated payload is written by the rows that hold its smallest id; repeated rows of that id, and
     # groups that have null ids alone, are settled by the small aggregate below.
-    once = keyed.select("_id", "_digest", "_payload").join(side, "_digest", "left")
+    once = with_first(keyed.select("_id", "_digest", "_payload"))
     single = once.where("_first is null").join(firsts.where("_first is null").select("_digest"), "_digest", "left_anti") if firsts.where("_first is null").count() else once.where("_first is null")
     rest = once.where("_first = _id").select("_digest", "_payload")
     nulls = once.join(firsts.where("_first is null").select("_digest"), "_digest", "left_semi").select("_digest", "_payload")

@@ -9,6 +9,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from hopweave.llm import components, exact_dedup, gif, jaccard_join, langid, packing, pieces, quality, secrets, shingles, url_filter, warc
+from hopweave.llm.common import join_groups
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _id string, n string, score string, token string"
 WORDS = [f"w{i}" for i in range(400)]
@@ -47,6 +48,16 @@ def test_exact_dedup_against_groups(spark, limit):
     assert all(got[i]["keep_id"] == max(want[t]) and got[i]["group_size"] == len(want[t]) for i, t in rows)
 
 
+def test_hot_and_other_groups_join_alike(spark):
+    rows = spark.range(5000).select("id", F.when(F.col("id") < 500, 0).when(F.col("id") < 700, F.floor(F.col("id") / 2)).alias("k"))
+    groups = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("size"), F.max("id").alias("last"))
+    plain = {(r["id"], r["size"], r["last"]) for r in rows.join(groups, "k", "left").collect()}
+    assert {r["size"] for r in groups.collect()} == {500, 2}  # 5 rows of 5,000 make a key hot
+    for total in (5000, 0, 10**9):  # some hot, all hot, none hot
+        got = join_groups(rows, groups, ["k"], "size", total).collect()
+        assert len(got) == 5000 and {(r["id"], r["size"], r["last"]) for r in got} == plain
+
+
 # 2 Jaccard join
 
 
