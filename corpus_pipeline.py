@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopweave.llm import exact_dedup, jaccard_join, langid, packing, secrets
-from hopweave.llm.common import id_bucket, table, written
+from hopweave.llm.common import fresh, id_bucket, table, written
 
 #: A text this far from every profile (of 0 to 1) is in none of the languages.
 LEAST_LANGUAGE_SCORE = 0.1
@@ -18,8 +18,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = langid.profiles(docs.where(id_bucket(F.col("doc_id"), 4) != 2))
     if not known:
         return docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
-    judged = docs.withColumn("_judged", langid.judge_column(known)("text"))
-    good = (F.col("_judged.lang_pred") != "und") & (F.col("_judged.score") >= LEAST_LANGUAGE_SCORE)
+    name = fresh(docs, "_judged")
+    judged = docs.withColumn(name, langid.judge_column(known)("text"))
+    good = (F.col(name)["lang_pred"] != "und") & (F.col(name)["score"] >= LEAST_LANGUAGE_SCORE)
     return judged.where(good).select(*docs.columns)
 
 
@@ -31,8 +32,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the one with the smallest doc_id stays; null ids stay."""
     found = jaccard_join.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = fresh(docs, "_gone")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

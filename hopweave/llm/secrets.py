@@ -13,7 +13,7 @@ them are shuffled, to add up their offsets within one text.
 
 Defined cases: null and empty texts have no candidates; overlapping candidates cannot occur, the leftmost
 longest is taken; repeated rows give repeated findings; an empty table gives none. Extra columns of the
-input are not looked at.
+input are not looked at; helper columns take names that it lacks.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import fresh, table, written
 
 KEY_CHARS = r"A-Za-z0-9+/_.\-"
 CANDIDATE = (
@@ -197,13 +197,14 @@ def scan_secrets(docs: DataFrame, forest, id_col: str = "doc_id", text_col: str
 def redact(docs: DataFrame, forest, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", mark: str = "[SECRET]", threshold: float = 0.5) -> DataFrame:
     """docs with every value found to be a secret replaced by mark; other rows pass through unmoved."""
     has = F.coalesce(F.regexp_like(F.col(text_col), F.lit(CANDIDATE)), F.lit(False))
-    values = (
-        scan_secrets(docs, forest, id_col, text_col, path_col, threshold).where("is_secret").groupBy("text_key")
-        .agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("_values"))
+    key, values = fresh(docs, "_key"), fresh(docs, "_values")
+    found = (
+        scan_secrets(docs, forest, id_col, text_col, path_col, threshold).where("is_secret").groupBy(F.col("text_key").alias(key))
+        .agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias(values))
     )
-    hit = docs.where(has).withColumn("_key", F.sha2(F.col(text_col).cast("binary"), 256))
-    clean = F.aggregate("_values", F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mark)))
-    hit = hit.join(values, F.col("_key") == values["text_key"], "left").withColumn(text_col, F.when(F.col("_values").isNull(), F.col(text_col)).otherwise(clean))
+    hit = docs.where(has).withColumn(key, F.sha2(F.col(text_col).cast("binary"), 256)).join(found, key, "left")
+    clean = F.aggregate(values, F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mark)))
+    hit = hit.withColumn(text_col, F.when(F.col(values).isNull(), F.col(text_col)).otherwise(clean))
     return docs.where(~has).unionByName(hit.select(*docs.columns))
 
 

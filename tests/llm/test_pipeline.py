@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_operators import docs, families, plain_components, plain_sets
 
@@ -35,3 +37,18 @@ def test_stages_keep_columns_and_redact(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, str(tmp_path))
     assert empty.count() == 0
+
+
+def test_stages_with_clashing_columns(spark, tmp_path):
+    names = ["_judged", "_gone", "_key", "_values", "_dedup_id", "_dedup_hash", "_dedup_key", "text_key", "value", "start", "_VALUES2", "_row", "features", "_t"]
+    rows = [(1, f'see token = "{KEY}" here'), (2, "no secret in this text at all"), (2, "no secret in this text at all"), (3, "no secret in this text at all"), (4, None)]
+    state = docs(spark, rows)
+    for n in names:
+        state = state.withColumn(n, F.concat(F.lit(n), F.col("doc_id").cast("string")))
+    columns = state.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        state = stage(spark, state, str(tmp_path))
+        assert state.columns == columns
+    got = state.collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 3] and all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names)
+    assert all(KEY not in r["text"] for r in got)
