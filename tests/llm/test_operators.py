@@ -258,6 +258,24 @@ def test_quality(spark):
 # 7 SentencePiece
 
 
+@pytest.mark.parametrize(
+    "texts, labels, want",
+    [
+        ([(1, None), (2, None), (9, "abc")], [(1, 0), (2, 1)], 0.5),
+        ([(9, "abc")], [(1, 0), (2, 1)], 0.5),
+        ([(1, ""), (2, ""), (3, ""), (4, "")], [(1, 0), (2, 1), (3, 0), (4, 1)], 0.5),
+        ([(None, "good text"), (2, "bad text"), (3, "x")], [(None, 0), (2, 1), (3, 0), (3, None)], 1 / 3),
+        ([], [], None),
+    ],
+)
+def test_quality_with_little_to_learn_from(spark, texts, labels, want):
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    model = quality.fit(frame, spark.createDataFrame(labels, "id long, label int"), "doc_id", "text")
+    got = quality.score(frame, model).collect()
+    assert len(got) == len(texts) and all(abs(r["score"] - want) < 1e-9 for r in got)
+
+
+
 def test_sentencepiece(spark):
     P, sp = pytest.importorskip("public_tokenizers"), pytest.importorskip("sentencepiece")
     path = P.path("piece_bpe_32k.model")
