@@ -1,35 +1,59 @@
-"""Connected components of an undirected link table, by smallest label and pointer jumping."""
+"""Connected components of an undirected link table, by contraction: each round at least halves the nodes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the smallest node reachable) of every node that has a link.
 
-    Each round every node takes the smallest label of its own, its neighbours' and its label's; rounds
-    end when none changes. Labels are written each round, so lineage stays short and no row is lost with
-    an executor. Null ends and loops count for nothing.
+    Each round every node points to its smallest neighbour. Two pointers on never lead to a larger node, so
+    chains of them end in two nodes that point to each other, of which the smaller becomes the root. Pointers
+    are doubled until all name roots, and roots replace nodes in the links. Each root takes one other node at least,
+    so rounds are at most the logarithm of the nodes, doublings that of a chain's length; none is capped. What a
+    round needs is written, so lineage stays short and no row is lost with an executor. Null ends and loops count for nothing.
     """
     spark = links.sparkSession
     ends = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     both = ends.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(ends.select(F.col(b).alias("u"), F.col(a).alias("v")))
     both = written(spark, both.distinct(), "links")
-    labels = written(spark, both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels["node"] == near["u"], "left").select(
-            "node", F.col("component").alias("old"), F.least("component", "near").alias("component")
-        )
-        up = labels.select(F.col("node").alias("p"), F.col("component").alias("above"))
-        step = step.join(up, F.col("component") == F.col("p"), "left").select("node", "old", F.least("component", "above").alias("component"))
-        step = written(spark, step, "labels")
-        changed = step.where("old <> component").limit(1).count()
-        labels = step.select("node", "component")
-        if not changed:
-            return labels
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
+    rounds = []
+    while both.limit(1).count():
+        near = written(spark, both.groupBy("u").agg(F.min("v").alias("v")), "nearest")
+        root = (F.col("w") == F.col("u")) & (F.col("u") < F.col("v"))
+        tree = near.join(_above(near), "v").select("u", F.when(root, F.col("u")).otherwise(F.col("v")).alias("v"))
+        tree = written(spark, tree, "trees")
+        discard(near)
+        moved = 1
+        while moved:
+            step = written(spark, tree.join(_above(tree), "v").select("u", F.col("w").alias("v"), (F.col("v") != F.col("w")).alias("moved")), "trees")
+            moved = step.where("moved").limit(1).count()
+            discard(tree)
+            tree = step
+        rounds.append(tree)
+        to = tree.select(F.col("u").alias("v"), F.col("v").alias("rv"))
+        left = both.join(tree.select("u", F.col("v").alias("ru")), "u").join(to, "v").where("ru <> rv")
+        left = written(spark, left.select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct(), "links")
+        discard(both)
+        both = left
+    if not rounds:
+        return both.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = rounds.pop()
+    while rounds:  # the last round's roots stand for those of the round before that still had links
+        tree = rounds.pop()
+        last = written(spark, tree.join(_above(roots), "v", "left").select("u", F.coalesce("w", "v").alias("v")), "roots")
+        discard(tree, roots)
+        roots = last
+    least = roots.groupBy("v").agg(F.min("u").alias("component"))
+    out = written(spark, roots.join(least, "v").select(F.col("u").alias("node"), "component"), "components")
+    discard(roots)
+    return out
+
+
+def _above(tree: DataFrame) -> DataFrame:
+    """v, w: where the nodes that are pointed to point themselves."""
+    return tree.select(F.col("u").alias("v"), F.col("v").alias("w"))

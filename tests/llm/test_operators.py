@@ -143,6 +143,15 @@ def test_components(spark):
     links = [(1, 2), (2, 3), (10, 9), (9, 8), (8, 7), (7, 3), (20, 21), (5, 5), (None, 4)]
     got = components.components(spark.createDataFrame(links, "a long, b long"))
     assert {r["node"]: r["component"] for r in got.collect()} == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 9: 1, 10: 1, 20: 20, 21: 20}
+    assert components.components(spark.createDataFrame([(5, 5), (None, 4)], "a long, b long")).count() == 0
+
+
+def test_components_of_long_shuffled_chain(spark):
+    rnd = random.Random(1)
+    ids = rnd.sample(range(10_000), 2000)
+    star = [(20_000 - 1, 20_000 + i) for i in range(50)] + [(20_000 + i, 30_000 + i) for i in range(50)]
+    got = components.components(spark.createDataFrame(list(zip(ids, ids[1:])) + star, "a long, b long"))
+    assert {r["node"]: r["component"] for r in got.collect()} == dict.fromkeys(ids, min(ids)) | {i: 19_999 for pair in star for i in pair}
 
 
 # 3 GIF
