@@ -17,8 +17,11 @@ Equal sets are one class, of which the smallest id stands for all. Then, with o
 4. Only groups that qualify are opened: a member that links holds at least one of the few tokens of the
    query that are rarest in the group; the query meets the members that do, and whole sets decide.
 
-So members of a large group of near copies meet its leader and the group, not each other; no link is lost, for
-every pair of linked classes either shares a linked group or passes all bounds. Nothing is capped.
+So members of a large group of near copies meet its leader and the group, not each other. No component changes by
+that, for every pair of linked classes either shares a linked group or passes all bounds; but links between two
+members that both link to their leader are not listed. ``near_links`` and ``count_links`` list and count every link: with
+them a class also queries its own linked group, which costs the square of a family's size, as its links do. The query
+op2, which asks for components, does without. Nothing is capped.
 Side tables of ids are broadcast only when counted to be at most ``max_broadcast_rows``.
 
 Defined cases: null ids get n_shingles but a null component and no links; null or empty texts and texts
@@ -92,10 +95,11 @@ def _sets(docs: DataFrame, k: int, percent: int, what: str) -> DataFrame:
     return docs.mapInPandas(run, f"_id {kind}, n long, s1 long, s2 long{cols}")
 
 
-def jaccard_links(pre: DataFrame, src: DataFrame, k: int, percent: int, max_broadcast_rows: int, after_prefix=lambda: None, size_step: float = 1.03) -> DataFrame:
+def jaccard_links(pre: DataFrame, src: DataFrame, k: int, percent: int, max_broadcast_rows: int, after_prefix=lambda: None, size_step: float = 1.03, every: bool = False) -> DataFrame:
     """Links a, b between classes. pre: _id, n, s1, s2, p, probe, tokens of one row of each; src: _id, _t.
 
-    after_prefix is called once pre is no longer read."""
+    every: all links, once each with a < b; else links with the same components, without those between two
+    members of a linked group. after_prefix is called once pre is no longer read."""
     spark = src.sparkSession
     rows = pre.select("_id", "n", "p", "probe", F.explode("tokens").alias("token"))
     held = rows.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
@@ -152,7 +156,8 @@ def jaccard_links(pre: DataFrame, src: DataFrame, k: int, percent: int, max_broa
     holders = live.select("token", "group").distinct().join(about, "group").select("token", F.col("group").alias("g"), "members", "least", "farthest")
     own = live.join(about.select("group", F.col("members").alias("own_members")), "group")
     larger = F.struct(F.col("members"), F.col("g")) > F.struct(F.col("own_members"), F.col("group"))
-    apart = ((F.col("g") == F.col("group")) & (F.col("g.size_class") >= 0) & (F.col("members") > 1)) | ((F.col("g") != F.col("group")) & larger)
+    meets_own = F.lit(True) if every else F.col("g.size_class") >= 0
+    apart = ((F.col("g") == F.col("group")) & meets_own & (F.col("members") > 1)) | ((F.col("g") != F.col("group")) & larger)
     ask = own.join(holders, "token").where(apart & (F.col("least") <= F.col("reach")) & (F.col("n") <= F.col("farthest")))
     least_n = F.ceil(F.col("n") * percent / 100)
     fewest = F.greatest(F.lit(1), F.floor(F.greatest(F.lit(1), F.floor(least_n * F.lit(SLACK) - F.lit(1e-9))) / 2))
@@ -193,6 +198,9 @@ def jaccard_links(pre: DataFrame, src: DataFrame, k: int, percent: int, max_broa
     fits = (F.col("mn") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("mn") * 100) & (F.col("n") <= F.col("mreach"))
     fits = fits & (F.col("upto") * (100 + percent) >= (F.col("n") + F.col("mn")) * percent) & (F.col("_id") != F.col("m"))
     open_ = bound.join(theirs, ["g", "token"]).where(fits).select(F.least("_id", "m").alias("a"), F.greatest("_id", "m").alias("b")).distinct()
+    if every:  # a star's links are met again within its group
+        star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        open_ = open_.join(star, ["a", "b"], "left_anti")
     return star.select("a", "b").unionByName(verified(open_, sets, percent))
 
 
@@ -205,8 +213,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS_PER_SHINGLE, percent: int = 80, max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """id, n_shingles, class_id (smallest id with an equal set), component_id of every row."""
+def _classes_and_links(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, max_broadcast_rows: int, every: bool):
+    """Signatures of all rows, the class of each id, classes with their sizes, links between classes."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     with small_batches(spark):
@@ -226,12 +234,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         chosen = pre.join(repeated, ["_id", "s1", "s2"], "left_semi").dropDuplicates(["_id"])
         pre = pre.join(repeated.select("_id"), "_id", "left_anti").unionByName(chosen.select(pre.columns))
         part = part.dropDuplicates(["_id", "_t"])
-    links = jaccard_links(pre, part, k, percent, max_broadcast_rows, lambda: discard(prefixes))
-    found = components(written(spark, links, "jaccard-links"))
+    links = jaccard_links(pre, part, k, percent, max_broadcast_rows, lambda: discard(prefixes), every=every)
+    return base, member, reps, written(spark, links, "jaccard-links")
+
+
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS_PER_SHINGLE, percent: int = 80, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """a, b (a < b): every link between classes, each named by its class_id."""
+    return _classes_and_links(docs, id_col, text_col, k, percent, max_broadcast_rows, True)[3]
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS_PER_SHINGLE, percent: int = 80, max_broadcast_rows: int = 1_000_000, count_links: bool = False
+) -> DataFrame:
+    """id, n_shingles, class_id (smallest id with an equal set), component_id of every row; with count_links
+    also n_links, the number of other ids whose sets are equal or linked."""
+    base, member, reps, links = _classes_and_links(docs, id_col, text_col, k, percent, max_broadcast_rows, count_links)
+    found = components(links)
     named = member.select("_id", "rep").join(found, F.col("rep") == F.col("node"), "left").select("_id", "rep", F.coalesce("component", "rep").alias("component"))
-    return base.join(named, "_id", "left").select(
+    out = [
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "_id").alias("class_id"), F.coalesce("component", "_id").alias("component_id")
-    )
+    ]
+    if count_links:
+        sizes = reps.select("rep", "size")
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        others = both.join(sizes, F.col("b") == F.col("rep")).groupBy("a").agg(F.sum("size").alias("others"))
+        counts = sizes.join(others, F.col("rep") == F.col("a"), "left").select("rep", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        named = named.join(counts, "rep")
+        out.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return base.join(named, "_id", "left").select(*out)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,6 +116,24 @@ def test_jaccard_join_against_all_pairs(spark, monkeypatch, seed, union, limit):
     assert {i: r["component_id"] for i, r in got.items()} == want and len(set(want.values())) < len(want) - 20
 
 
+@pytest.mark.parametrize(("seed", "union", "limit"), [(1, 200_000, 1_000_000), (4, 1, 0)])
+def test_jaccard_join_lists_every_link(spark, monkeypatch, seed, union, limit):
+    monkeypatch.setattr(jaccard_join, "UNION_TOKENS", union)
+    rnd = random.Random(seed)
+    base = [f"v{i}" for i in range(200)]
+    family = [(1000 + i, " ".join(w if p != at else "new" for p, w in enumerate(base))) for i, at in enumerate(rnd.sample(range(200), 12))]
+    rows = [*families(seed), *family, (2000, family[0][1])]
+    sets = {i: s for i, s in plain_sets(rows).items() if s}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    rep = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    got = jaccard_join.near_links(docs(spark, rows), max_broadcast_rows=limit).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == sorted({(a, b) for a, b in want if rep[a] == a and rep[b] == b and sets[a] != sets[b]})
+    if limit:
+        count = Counter(i for pair in want for i in pair)
+        out = jaccard_join.near_duplicates(docs(spark, rows), count_links=True).collect()
+        assert {r["doc_id"]: r["n_links"] for r in out} == {i: count[i] for i, _ in rows}
+
+
 def test_jaccard_join_awkward(spark):
     got = jaccard_join.near_duplicates(docs(spark, [*awkward(), (2, "another text of the same id here")])).collect()
     assert len(got) == len(awkward()) + 1
