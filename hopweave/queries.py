@@ -88,6 +88,18 @@ def _frontier(g: Graph):
     return g.vertices.where("id % 7 = 0").select("id")
 
 
+def _level(g: Graph):
+    """The frontier of a search from 0 after one hop."""
+    return _first_hop(g).select("id")
+
+
+def _visited(g: Graph):
+    return g.vertices.where("id = 0").select("id").unionByName(_level(g))
+
+
+LEVEL_SQL = "f AS (SELECT DISTINCT dst AS id FROM e WHERE src = 0 AND dst <> 0)"
+
+
 def _gr_roundtrip(spark, sf_dir):
     path = f"{shared_dir(spark)}/succ-{uuid.uuid4().hex}.gr"
     write_gr(tables.successions(spark, sf_dir), path)
@@ -132,6 +144,17 @@ _QUERIES = {
         "x AS (SELECT 1)\nSELECT DISTINCT dst AS id FROM e WHERE src % 7 = 0 AND dst % 7 <> 0"),
     "frontier_size": ("succ", lambda g: fr.dedupe(fr.expand(_frontier(g), g.edges).select(F.col("dst").alias("id"))).agg(F.count("*").alias("size")),
         "x AS (SELECT 1)\nSELECT count(DISTINCT dst) AS size FROM e WHERE src % 7 = 0"),
+    # The same over every edge, or a level of a search
+    "edges_by_position": ("succ", lambda g: g.numbered_edges(), "x AS (SELECT 1)\nSELECT row_number() OVER (ORDER BY src, dst) - 1 AS eid, src, dst FROM e"),
+    "level_heavy": ("succ", lambda g: fr.heavy_members(_level(g), g, 25), f"{DEG_SQL}, {LEVEL_SQL}\nSELECT id, out_degree FROM deg JOIN f USING (id) WHERE out_degree >= 25"),
+    "level_work_prefix_sum": ("succ", lambda g: fr.work_offsets(_level(g), g),
+        f"{DEG_SQL}, {LEVEL_SQL}\nSELECT id, out_degree, coalesce(sum(out_degree) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS work_before FROM deg JOIN f USING (id)"),
+    "level_expand": ("succ", lambda g: fr.expand(_level(g), g.edges), f"{LEVEL_SQL}\nSELECT src, dst FROM e JOIN f ON f.id = e.src"),
+    "level_dedupe": ("succ", lambda g: fr.dedupe(fr.expand(_level(g), g.edges).select(F.col("dst").alias("id"))), f"{LEVEL_SQL}\nSELECT DISTINCT dst AS id FROM e JOIN f ON f.id = e.src"),
+    "level_compact": ("succ", lambda g: fr.not_visited(fr.dedupe(fr.expand(_level(g), g.edges).select(F.col("dst").alias("id"))), _visited(g)),
+        f"{LEVEL_SQL}\nSELECT DISTINCT dst AS id FROM e JOIN f ON f.id = e.src WHERE dst <> 0 AND dst NOT IN (SELECT id FROM f)"),
+    "level_size": ("succ", lambda g: fr.dedupe(fr.expand(_level(g), g.edges).select(F.col("dst").alias("id"))).agg(F.count("*").alias("size")),
+        f"{LEVEL_SQL}\nSELECT count(DISTINCT dst) AS size FROM e JOIN f ON f.id = e.src"),
     "aggregate_messages": ("succ", lambda g: fr.aggregate_messages(g.degrees(), g.edges, F.col("out_degree"), F.max),
         f"{DEG_SQL}\nSELECT dst AS id, max(out_degree) AS value FROM e JOIN deg ON deg.id = e.src GROUP BY 1"),
     # Hop distances
@@ -174,6 +197,14 @@ _QUERIES = {
     "pr_top_k": ("succ", lambda g: pagerank.top(pagerank.pagerank(g, max_rounds=10).state, 20).select("node", p6()), _ranks_sql("succ", "topology", 10) + "\nSELECT node, round(p, 6) AS p FROM (SELECT * FROM ranks ORDER BY p DESC, node LIMIT 20)"),
     "pr_normalized": ("succ", lambda g: pagerank.normalised(pagerank.pagerank(g, max_rounds=10).state).select("node", F.round("p", 9).alias("p")),
         _ranks_sql("succ", "topology", 10) + "\nSELECT node, round(p / sum(p) OVER (), 9) AS p FROM ranks"),
+    # Reports of converged ranks
+    "pr_sum_converged": ("succ", lambda g: pagerank.total(pagerank.pagerank(g).state).select(F.round("rank_sum", 4).alias("rank_sum"), "nodes"),
+        _ranks_sql("succ", "topology") + "\nSELECT round(sum(p), 4) AS rank_sum, count(*) AS nodes FROM ranks"),
+    "pr_output_converged": ("chain", _ranks("topology"), _ranks_sql("chain", "topology") + P6_SQL),
+    "pr_top_k_converged": ("succ", lambda g: pagerank.top(pagerank.pagerank(g).state, 20).select("node", p6()),
+        _ranks_sql("succ", "topology") + "\nSELECT node, round(p, 6) AS p FROM (SELECT * FROM ranks ORDER BY p DESC, node LIMIT 20)"),
+    "pr_normalized_converged": ("succ", lambda g: pagerank.normalised(pagerank.pagerank(g).state).select("node", F.round("p", 9).alias("p")),
+        _ranks_sql("succ", "topology") + "\nSELECT node, round(p / sum(p) OVER (), 9) AS p FROM ranks"),
 }
 
 QUERIES = {name: _on(graph, run) for name, (graph, run, _) in _QUERIES.items()} | {"gr_roundtrip": _gr_roundtrip}

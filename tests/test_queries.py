@@ -31,3 +31,15 @@ def test_entry_without_training_data_operators():
     import __spark_entry__ as entry
 
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_whole_queries(spark):
+    edges = sorted(map(tuple, QUERIES["edge_list_scan"](spark, SF).collect()))
+    got = QUERIES["edges_by_position"](spark, SF).orderBy("eid").collect()
+    assert [(r["eid"], r["src"], r["dst"]) for r in got] == [(k, *e) for k, e in enumerate(edges)]
+    level = {d for s, d in edges if s == 0} - {0}
+    assert sorted(map(tuple, QUERIES["level_expand"](spark, SF).collect())) == [e for e in edges if e[0] in level]
+    ranks = QUERIES["pr_topology"](spark, SF).toPandas()["p"]
+    got = QUERIES["pr_sum_converged"](spark, SF).first()
+    assert got["nodes"] == len(ranks) and abs(got["rank_sum"] - ranks.sum()) < 1e-3
