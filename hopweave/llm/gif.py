@@ -6,11 +6,15 @@ shown: RGBA canvas, delay and a colour histogram (64 bins, two bits of each of R
 transparent part of the canvas counts in none). Encoding writes 8-bit samples as an animation with a grey
 palette, so that any byte string survives a round trip.
 
-Both run per row within a batch, nothing is shuffled, memory is one image. Images of any size are cut into frames of
-at most ``FRAME_ROWS`` rows when encoded.
-
-Defined cases: null media decode to null; an empty or broken GIF gives no frames and an ``error``; code
-streams that end early leave the rest of the image undrawn; repeated rows give equal values.
+Nothing is shuffled. A worker gets a few rows at a time (``common.BATCH``) and shows one canvas after the other;
+``decode_frames`` gives a row per frame, handed on before many are held, ``decode_column`` keeps no pixels. Images of
+any size are cut into frames of at most ``FRAME_ROWS`` rows when encoded.
+
+Defined cases: null media decode to null (``decode_frames``: no row); an empty or broken GIF, or one that claims more than
+``max_pixels`` in its canvas or an image, gives the frames before the fault and an ``error``; code streams that end early
+leave the rest of the image undrawn; very long texts are a longer animation; repeated rows and null ids are kept and
+equal media give equal values; an empty table gives an empty result; other columns are not looked at, helper columns take names
+that the input lacks, and an output name that the input has raises.
 """
 
 from __future__ import annotations
@@ -22,9 +26,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, map_texts, small_batches, table
 
 WIDTH, FRAME_ROWS, DELAY_CS = 192, 256, 10
+#: Pixels of a canvas or an image that a file may ask for: 64 MB as RGBA.
+MAX_PIXELS = 1 << 24
 CLEAR, END, FIRST, LIMIT = 256, 257, 258, 4096
 GREY = bytes(v for i in range(256) for v in (i, i, i))
 
@@ -160,8 +166,8 @@ def encode_gif(samples: bytes, width: int = WIDTH, frame_rows: int = FRAME_ROWS,
     return b"".join([*out, b"\x3b"])
 
 
-def frames_of(data: bytes):
-    """(RGBA canvas, place x, y, w, h, delay in ms, disposal) of each frame as shown. ValueError if broken."""
+def frames_of(data: bytes, max_pixels: int = MAX_PIXELS):
+    """(RGBA canvas, place x, y, w, h, delay in ms, disposal) of each frame as shown. ValueError if broken or too large."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     num = lambda at: int.from_bytes(data[at : at + 2], "little")
@@ -190,6 +196,8 @@ def frames_of(data: bytes):
 
     if flags & 0x80:
         palette = colours(flags & 7)
+    if width * height > max_pixels:
+        raise ValueError(f"a canvas of more than {max_pixels} pixels")
     canvas = np.zeros((height, width, 4), np.uint8)
     delay, disposal, clear_index = 0, 0, None
     while at < len(data):
@@ -215,8 +223,10 @@ def frames_of(data: bytes):
                 raise ValueError("an image without a palette")
             size = data[at] if at < len(data) else 0
             at += 1
-            if not 1 <= size <= 11:
+            if not 1 <= size <= 8:
                 raise ValueError("a code size out of range")
+            if w * h > max_pixels:
+                raise ValueError(f"an image of more than {max_pixels} pixels")
             pixels = np.frombuffer(lzw_decode(blocks(), size, w * h), np.uint8)
             index = np.zeros(w * h, np.uint8)
             drawn = np.zeros(w * h, bool)
@@ -249,76 +259,94 @@ def histogram(canvas: np.ndarray) -> np.ndarray:
     return np.bincount((rgb[..., 0] * 16 + rgb[..., 1] * 4 + rgb[..., 2])[canvas[..., 3] > 0], minlength=64)
 
 
-FRAMES = "array<struct<at_ms:int,delay_ms:int,x:int,y:int,width:int,height:int,disposal:int,histogram:array<long>,rgba:binary>>"
+FRAME = "at_ms:int,delay_ms:int,x:int,y:int,width:int,height:int,disposal:int,histogram:array<long>"
+
+
+def _frames(data: bytes, max_pixels: int):
+    """(a frame's row without pixels, its canvas) of each frame, then (None, the error) if the file is broken."""
+    at = 0
+    try:
+        for canvas, x, y, w, h, delay, disposal in frames_of(data, max_pixels):
+            yield {"at_ms": at, "delay_ms": delay, "x": x, "y": y, "width": w, "height": h, "disposal": disposal, "histogram": histogram(canvas).tolist()}, canvas
+            at += delay
+    except (ValueError, IndexError) as e:
+        yield None, str(e)
 
 
-def decode_column(df: DataFrame, media_col: str, out_col: str = "frames", pixels: bool = True) -> DataFrame:
-    """Adds the timed frames of a column of GIF byte strings, and ``<out_col>_error`` for broken ones."""
+def decode_column(df: DataFrame, media_col: str, out_col: str = "frames", max_pixels: int = MAX_PIXELS) -> DataFrame:
+    """Adds the timed frames (without pixels) of a column of GIF byte strings, and ``<out_col>_error`` for broken ones."""
+    if clash := {out_col.lower(), f"{out_col}_error".lower()} & {c.lower() for c in df.columns}:
+        raise ValueError(f"the input has {sorted(clash)} already")
+    small_batches(df.sparkSession)
 
-    @F.pandas_udf(f"frames {FRAMES}, error string")
+    @F.pandas_udf(f"frames array<struct<{FRAME}>>, error string")
     def run(media):
         import pandas as pd
 
         rows = []
         for data in media:
-            if data is None:
-                rows.append((None, None))
-                continue
-            got, at, error = [], 0, None
-            try:
-                for canvas, x, y, w, h, delay, disposal in frames_of(bytes(data)):
-                    got.append({"at_ms": at, "delay_ms": delay, "x": x, "y": y, "width": w, "height": h, "disposal": disposal, "histogram": histogram(canvas).tolist(), "rgba": canvas.tobytes() if pixels else None})
-                    at += delay
-            except ValueError as e:
-                error = str(e)
-            rows.append((got, error))
+            got = [] if data is None else list((f, c if f is None else None) for f, c in _frames(bytes(data), max_pixels))
+            rows.append((None, None) if data is None else ([f for f, _ in got if f], next((c for f, c in got if f is None), None)))
         return pd.DataFrame(rows, columns=["frames", "error"])
 
-    got = df.withColumn("_gif", run(media_col))
-    return got.withColumns({out_col: F.col("_gif.frames"), f"{out_col}_error": F.col("_gif.error")}).drop("_gif")
+    name = fresh(df, "_gif")
+    got = df.withColumn(name, run(media_col))
+    return got.select(*df.columns, F.col(name)["frames"].alias(out_col), F.col(name)["error"].alias(f"{out_col}_error"))
 
 
-def encode_bytes(df: DataFrame, id_col: str, data_col: str, unit: int = WIDTH, pad: int = 32) -> DataFrame:
-    """id, n_bytes, media: the bytes of data_col, padded to a positive multiple of unit, as a GIF."""
+def decode_frames(df: DataFrame, id_col: str, media_col: str, max_pixels: int = MAX_PIXELS) -> DataFrame:
+    """A row per frame with its pixels: id, frame (number), the timed frame, rgba; a broken file ends in a row with error."""
+    small_batches(df.sparkSession)
+    fields = [f.split(":") for f in FRAME.split(",")]
+    src = df.select(F.col(id_col).alias("_id"), F.col(media_col).alias("_m"))
+    kind = src.schema["_id"].dataType.simpleString()
+    out = f"_id {kind}, frame int, {', '.join(f'{n} {t}' for n, t in fields)}, rgba binary, error string"
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
+        types = [pa.list_(pa.int64()) if t.startswith("array") else pa.int32() for _, t in fields]
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.iloc[i : i + 256]
-                raw = [bytes(x) if x is not None else b"" for x in part["_d"]]
-                media = [encode_gif(x + bytes([pad]) * (max(1, -(-len(x) // unit)) * unit - len(x)), unit) for x in raw]
-                yield pd.DataFrame({"_id": part["_id"].reset_index(drop=True), "n_bytes": [len(x) for x in raw], "media": media})
+            for row in range(batch.num_rows):
+                data = batch.column("_m")[row].as_py()
+                for k, (frame, canvas) in enumerate(_frames(data, max_pixels) if data is not None else ()):
+                    values = [pa.array([frame and frame[n]], t) for (n, _), t in zip(fields, types, strict=True)]
+                    shown = [pa.array([canvas.tobytes() if frame else None], pa.binary()), pa.array([None if frame else canvas], pa.string())]
+                    yield pa.RecordBatch.from_arrays([batch.column("_id").slice(row, 1), pa.array([k], pa.int32()), *values, *shown], names=["_id", "frame", *[n for n, _ in fields], "rgba", "error"])
 
-    src = df.select(F.col(id_col).alias("_id"), F.col(data_col).cast("binary").alias("_d"))
-    kind = src.schema["_id"].dataType.simpleString()
-    return src.mapInPandas(run, f"_id {kind}, n_bytes long, media binary").withColumnRenamed("_id", id_col)
+    return src.mapInArrow(run, out).withColumnRenamed("_id", id_col)
+
+
+def encode_bytes(df: DataFrame, id_col: str, data_col: str, unit: int = WIDTH, pad: int = 32) -> DataFrame:
+    """id, n_bytes, media: the bytes of data_col, padded to a positive multiple of unit, as a GIF."""
+
+    def work(values):
+        raw = [x or b"" for x in values]
+        return [len(x) for x in raw], [encode_gif(x + bytes([pad]) * (max(1, -(-len(x) // unit)) * unit - len(x)), unit) for x in raw]
+
+    name = fresh(df, "_data")
+    return map_texts(df.withColumn(name, F.col(data_col).cast("binary")), id_col, [name], "n_bytes long, media binary", lambda: work)
 
 
 def describe(df: DataFrame, id_col: str) -> DataFrame:
     """Reads the media column back: digests of the shown samples and of the stored form, and features."""
 
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            rows = []
-            for i, n, media in zip(batch["_id"], batch["n_bytes"], batch["media"], strict=True):
-                media, parts, ms, total = bytes(media), [], 0, np.zeros(64, np.int64)
-                for canvas, x, y, w, h, delay, _ in frames_of(media):
-                    shown = canvas[y : y + h, x : x + w]
-                    parts.append(shown[..., 0].tobytes())
-                    total += histogram(shown)
-                    ms += delay
-                data = b"".join(parts)
-                feature = f"frames={len(parts)};ms={ms};colours=" + ",".join(f"{k}:{v}" for k, v in enumerate(total.tolist()) if v)
-                rows.append((i, n, len(data), sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(media), sha256(media).hexdigest(), feature))
-            yield pd.DataFrame(rows, columns=["_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    src = df.select(F.col(id_col).alias("_id"), "n_bytes", "media")
-    kind = src.schema["_id"].dataType.simpleString()
-    return src.mapInPandas(run, f"_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("_id", id_col)
+    def one(n, media):
+        whole, tail, size, frames, ms, total = sha256(), b"", 0, 0, 0, np.zeros(64, np.int64)
+        for canvas, x, y, w, h, delay, _ in frames_of(media):
+            shown = canvas[y : y + h, x : x + w]
+            data = shown[..., 0].tobytes()
+            whole.update(data)
+            tail, size, frames, ms = (tail + data[-16:])[-16:], size + len(data), frames + 1, ms + delay
+            total += histogram(shown)
+        feature = f"frames={frames};ms={ms};colours=" + ",".join(f"{k}:{v}" for k, v in enumerate(total.tolist()) if v)
+        return n, size, whole.hexdigest(), zlib.crc32(tail), len(media), sha256(media).hexdigest(), feature
+
+    def work(n_bytes, media):
+        return list(zip(*map(one, n_bytes, media), strict=True))
+
+    schema = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return map_texts(df, id_col, ["n_bytes", "media"], schema, lambda: work)
 
 
 def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:

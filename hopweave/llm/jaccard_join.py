@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, give_back, join_groups, small_batches, table, written
+from .common import discard, join_groups, map_texts, table, written
 from .components import components
 from .shingles import WORDS_PER_SHINGLE, shingle_sets, signature
 
@@ -72,27 +72,21 @@ def _maybe_broadcast(df: DataFrame, limit: int) -> DataFrame:
 
 def _sets(docs: DataFrame, k: int, percent: int, what: str) -> DataFrame:
     """what: "prefix" (its tokens, with its size and the probe size) or "whole". Needs _id, _t."""
-    kind = docs.schema["_id"].dataType.simpleString()
-    cols = {"prefix": ", p int, probe int, tokens array<long>", "whole": ", tokens array<long>"}[what]
+    import numpy as np
 
-    def run(batches):
-        import numpy as np
-        import pandas as pd
+    def prefix(texts):
+        sets = list(shingle_sets(texts, k))
+        a, b = zip(*map(signature, sets), strict=True)
+        p = [prefix_size(len(s), percent) for s in sets]
+        return [len(s) for s in sets], a, b, p, [probe_size(len(s), percent) for s in sets], [s[:m].view(np.int64) for s, m in zip(sets, p, strict=True)]
 
-        for batch in batches:
-            for i in range(0, len(batch), 250):
-                part = batch.iloc[i : i + 250]
-                sets = list(shingle_sets(part["_t"].tolist(), k))
-                sig = [signature(s) for s in sets]
-                out = {"_id": part["_id"].tolist(), "n": [len(s) for s in sets], "s1": [a for a, _ in sig], "s2": [b for _, b in sig]}
-                if what == "prefix":
-                    out |= {"p": [prefix_size(len(s), percent) for s in sets], "probe": [probe_size(len(s), percent) for s in sets]}
-                    sets = [s[:p] for s, p in zip(sets, out["p"], strict=True)]
-                out["tokens"] = [s.view(np.int64) for s in sets]
-                yield pd.DataFrame(out)
-        give_back()
+    def whole(texts):
+        sets = list(shingle_sets(texts, k))
+        a, b = zip(*map(signature, sets), strict=True)
+        return [len(s) for s in sets], a, b, [s.view(np.int64) for s in sets]
 
-    return docs.mapInPandas(run, f"_id {kind}, n long, s1 long, s2 long{cols}")
+    cols = {"prefix": "p int, probe int, tokens array<long>", "whole": "tokens array<long>"}[what]
+    return map_texts(docs, "_id", ["_t"], f"n long, s1 long, s2 long, {cols}", lambda: {"prefix": prefix, "whole": whole}[what])
 
 
 def jaccard_links(pre: DataFrame, src: DataFrame, k: int, percent: int, max_broadcast_rows: int, after_prefix=lambda: None, size_step: float = 1.03, every: bool = False) -> DataFrame:
@@ -116,8 +110,7 @@ def jaccard_links(pre: DataFrame, src: DataFrame, k: int, percent: int, max_broa
     discard(shared)
     after_prefix()
     again = _sets(src.join(left.select("_id"), "_id", "left_semi"), k, percent, "whole").join(left, ["_id", "s1", "s2"], "left_semi")
-    with small_batches(spark):
-        whole = written(spark, again.select("_id", "n", "tokens"), "whole-sets", "snappy")
+    whole = written(spark, again.select("_id", "n", "tokens"), "whole-sets", "snappy")
     flat = whole.select("_id", "n", F.explode("tokens").alias("token"))
     both = flat.groupBy("token").agg(F.count("*").alias("held")).where("held > 1").select("token")
     sets = flat.join(both, "token").groupBy("_id", "n").agg(F.collect_list("token").alias("tokens"))
@@ -217,8 +210,7 @@ def _classes_and_links(docs: DataFrame, id_col: str, text_col: str, k: int, perc
     """Signatures of all rows, the class of each id, classes with their sizes, links between classes."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    with small_batches(spark):
-        prefixes = written(spark, _sets(src, k, percent, "prefix"), "prefixes", "snappy")
+    prefixes = written(spark, _sets(src, k, percent, "prefix"), "prefixes", "snappy")
     base = written(spark, prefixes.select("_id", "n", "s1", "s2"), "signatures")
     taking_part = base.where("_id is not null and n > 0")
     one = taking_part.groupBy("_id").agg(F.min(F.struct("n", "s1", "s2")).alias("s"), F.count("*").alias("rows")).select("_id", "s.*", "rows")

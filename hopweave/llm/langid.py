@@ -11,7 +11,9 @@ reach the driver and the scoring tasks. Scoring reads each whole text once and s
 
 Defined cases: text that is null or has no letter is ``und`` with score 0; ties between languages go to
 the alphabetically first, ties between n-grams to the smaller code; rows without a language are not
-learned from; without training rows everything is ``und``; repeated rows are judged alike.
+learned from; without training rows everything is ``und``; an empty table gives an empty result; repeated rows and
+null ids are kept and judged alike; long texts are read whole, a few rows at a time (``common.BATCH``); only id, text
+and lang are looked at, and the id never becomes a Python value, so no other column clashes and no id changes.
 """
 
 from __future__ import annotations
@@ -22,9 +24,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_bucket, table
+from .common import id_bucket, map_texts, small_batches, table
 
-PROFILE, TEXT_TOP, FLUSH_CHARS = 400, 300, 2_000_000
+PROFILE, TEXT_TOP, FLUSH_GRAMS = 400, 300, 2_000_000
 
 
 @lru_cache(maxsize=1)
@@ -43,22 +45,50 @@ def codes(text: str) -> np.ndarray:
     return c if len(c) > 2 else c[:0]
 
 
-def grams(c: np.ndarray) -> np.ndarray:
-    """One number for each n-gram: letters of 21 bits each; one, two and three letters never collide,
-    for the first letter of a longer one is shifted and a lone 0 is left out."""
+def grams(c: np.ndarray, seen: int = 0) -> np.ndarray:
+    """One number for each n-gram that ends after the first ``seen`` codes: letters of 21 bits each; one, two and three
+    letters never collide, for the first letter of a longer one is shifted and a lone 0 is left out."""
     s = np.uint64(21)
-    one = c[c != 0]
+    one = c[seen:][c[seen:] != 0]
     # A gram that starts with 0 (a word's start) is marked by a number that is no character.
     start = np.uint64(0x1FFFFF)
     first = np.where(c == 0, start, c)
     two = (first[:-1] << s) | c[1:]
     three = (first[:-2] << (s + s)) | (c[1:-1] << s) | c[2:]
-    return np.concatenate([one, two, three[c[1:-1] != 0]])
-
-
-def top(keys: np.ndarray, k: int) -> np.ndarray:
-    """The k most frequent keys, most frequent first, the smaller key on ties."""
-    values, counts = np.unique(keys, return_counts=True)
+    skip2, skip3 = max(0, seen - 1), max(0, seen - 2)
+    return np.concatenate([one, two[skip2:], three[skip3:][c[1:-1][skip3:] != 0]])
+
+
+SLICE = 1 << 20
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a text, sorted, and how often each occurs; a long text is counted slice by slice."""
+    if len(text) <= SLICE:
+        return np.unique(grams(codes(text)), return_counts=True)
+    text, letters = text.lower(), _letters()
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    last = np.zeros(1, np.uint64)  # the two codes before a slice: the n-grams that end in it begin there
+    any_letter = False
+    for at in range(0, len(text) + 1, SLICE):  # the last slice may be the closing 0 alone
+        c = letters[np.frombuffer(text[at : at + SLICE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        if at + SLICE > len(text):
+            c = np.concatenate([c, np.zeros(1, np.uint64)])
+        keep = (c != 0) | (np.concatenate([last[-1:], c[:-1]]) != 0)
+        c = c[keep]
+        any_letter = any_letter or bool((c != 0).any())
+        if not len(c):
+            continue
+        both = np.concatenate([last, c])
+        new, n = np.unique(grams(both, len(last)), return_counts=True)
+        merged, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
+        keys, counts = merged, np.bincount(back, np.concatenate([counts, n]), len(merged)).astype(np.int64)
+        last = both[-2:]
+    return (keys, counts) if any_letter else (keys[:0], counts[:0])
+
+
+def top(values: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+    """The k most frequent of distinct, sorted values, most frequent first, the smaller on ties."""
     if len(values) > k:
         # Everything above the k-th count, and of those equal to it the smallest keys (values is sorted).
         edge = np.partition(counts, len(counts) - k)[len(counts) - k]
@@ -69,21 +99,32 @@ def top(keys: np.ndarray, k: int) -> np.ndarray:
 
 
 def _count(batches):
+    """lang, gram, n: sums over as many texts as FLUSH_CHARS allows, whatever the batches."""
     import pandas as pd
 
+    held: dict[str, list] = {}
+    size = 0
+
+    def flush():
+        for lang, parts in held.items():
+            keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([n for _, n in parts]), len(keys))
+            yield pd.DataFrame({"lang": lang, "gram": keys.astype(np.int64), "n": n.astype(np.int64)})
+        held.clear()
+
     for batch in batches:
-        for lang, rows in batch.groupby("lang", sort=True):
-            parts, n = [], 0
-            for i, t in enumerate(rows["_t"]):
-                parts.append(grams(codes(t)))
-                n += len(t)
-                if n >= FLUSH_CHARS or i == len(rows) - 1:
-                    keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "gram": keys.astype(np.int64), "n": counts})
-                    parts, n = [], 0
+        for lang, t in zip(batch["lang"], batch["_t"], strict=True):
+            keys, n = gram_counts(t)
+            held.setdefault(lang, []).append((keys, n))
+            size += len(keys)
+            if size >= FLUSH_GRAMS:
+                yield from flush()
+                size = 0
+    yield from flush()
 
 
 def profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE) -> dict[str, np.ndarray]:
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("_t"))
     summed = rows.mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -101,10 +142,10 @@ class Judge:
         self.keys = [known[k][o] for k, o in zip(self.langs, self.order, strict=True)]
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        c = codes(text or "")
-        if not len(c) or not self.langs:
+        values, counts = gram_counts(text or "")
+        if not len(values) or not self.langs:
             return "und", 0.0
-        mine = top(grams(c), TEXT_TOP)
+        mine = top(values, counts, TEXT_TOP)
         rank = np.arange(len(mine))
         best, least = 0, None
         for i, (keys, order) in enumerate(zip(self.keys, self.order, strict=True)):
@@ -118,22 +159,18 @@ class Judge:
 def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", size: int = PROFILE) -> DataFrame:
     """id, lang_pred, score."""
 
-    def run(batches):
-        import pandas as pd
-
+    def make():
         judge = Judge(known, size)
-        for batch in batches:
-            got = [judge(t) for t in batch["_t"]]
-            yield pd.DataFrame({"_id": batch["_id"], "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
+        return lambda texts: list(zip(*map(judge, texts), strict=True))
 
-    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    kind = src.schema["_id"].dataType.simpleString()
-    return src.mapInPandas(run, f"_id {kind}, lang_pred string, score double").withColumnRenamed("_id", id_col)
+    return map_texts(docs, id_col, [text_col], "lang_pred string, score double", make)
 
 
 def judge_column(known: dict[str, np.ndarray], size: int = PROFILE):
     """text -> struct(lang_pred, score), for filters that keep their rows as they are."""
 
+    small_batches(SparkSession.active())
+
     @F.pandas_udf("lang_pred string, score double")
     def run(text):
         import pandas as pd

@@ -12,7 +12,8 @@ part-filled bins. Rows go to shards by a hash of id, length and part, so no sour
 one task, and only numbers are shuffled, never texts.
 
 Defined cases: null and empty texts have length ``extra`` (the end mark); rows that repeat an id are
-packed each, told apart by ``copy``; ties in length are packed by id, part and copy; an empty input gives no rows.
+packed each, told apart by ``copy``; ties in length are packed by id, part and copy, null ids last; a long text is several
+pieces; an empty input gives no rows; only the id and what ``length`` names are looked at, so no other column clashes.
 """
 
 from __future__ import annotations
@@ -103,14 +104,19 @@ def best_fit_packing(
         start.alias("piece_start"), F.least(F.col("_n") - start, F.lit(most)).alias("piece_length"),
     )
 
-    def run(pdf):
-        pdf = pdf.sort_values(["piece_length", "_id", "part", "copy"], ascending=[False, True, True, True], kind="stable")
-        got = pack(pdf["piece_length"].tolist(), capacities, power, bin_cost, worths)
-        pdf["bin"], pdf["bin_start"], pdf["capacity"] = zip(*got, strict=True)
-        return pdf
+    def run(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    kind = pieces.schema["_id"].dataType.simpleString()
-    return pieces.groupBy("shard").applyInPandas(
+        keys = [("piece_length", "descending"), ("_id", "ascending"), ("part", "ascending"), ("copy", "ascending")]
+        table = table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_end"))
+        got = pack(table.column("piece_length").to_pylist(), capacities, power, bin_cost, worths)
+        for name, values in zip(("bin", "bin_start", "capacity"), zip(*got, strict=True), strict=True):
+            table = table.append_column(name, pa.array(values, pa.int64()))
+        return table
+
+    kind = pieces.schema["_id"].dataType.simpleString()  # in Arrow from end to end: no id becomes a float beside a null
+    return pieces.groupBy("shard").applyInArrow(
         run, f"shard long, _id {kind}, part long, copy long, piece_start long, piece_length long, bin long, bin_start long, capacity long"
     ).withColumnRenamed("_id", id_col)
 

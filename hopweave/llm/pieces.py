@@ -2,9 +2,10 @@
 
 A text is normalised by walking the model's compiled character map: at each place the longest key of the
 map (a double-array trie) that prefixes the rest is replaced by its value, else one character is copied.
-Every byte written remembers the source byte it came from, and each piece of the encoding is projected
-through that record to the span of original bytes it covers. Models with an empty map take the same path
-with nothing to look up.
+Every character written remembers the source byte it came from, and each piece of the encoding is projected
+through that record to the span of original bytes it covers. Runs in which no key of the map can begin are
+copied as a whole, with their bytes as record; with an empty map, as in the model of op7, that is the whole text.
+Ids, decoded text and the digests of spans that the query returns all come from this normalised text and its record.
 
 Encoding merges the pair of neighbouring symbols whose concatenation is the best-scored piece, leftmost
 first on ties, until none is left; characters without a piece fall back to their bytes. No piece of the
@@ -15,9 +16,11 @@ of equal length together, as one matrix.
 Decoding joins the pieces, turns space marks into spaces, drops the one dummy space and reads runs of
 byte pieces as UTF-8 with U+FFFD for what is not.
 
-Nothing is shuffled; memory is a bounded cache of words and one batch. Defined cases: null and empty
-texts have no ids and decode to the empty text; repeated rows are encoded alike; unknown ids decode to
-the model's unknown surface, control ids to nothing.
+Nothing is shuffled; memory is a bounded cache of words and a few rows (``common.BATCH``), of long texts the normalised
+text with its record and the words of one block. Defined cases: null and empty
+texts have no ids and decode to the empty text; repeated rows and null ids are kept and encoded alike; unknown ids decode to
+the model's unknown surface, control ids to nothing; an empty table gives an empty result; only id and text are looked
+at, so no other column clashes (``decode`` replaces a column of the name it is given).
 """
 
 from __future__ import annotations
@@ -28,17 +31,18 @@ import struct
 from array import array
 from functools import lru_cache
 from hashlib import sha256
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_texts, small_batches, table
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
-CACHE_WORDS, BATCH_CHARS, LONG_WORD = 250_000, 4_000_000, 40
+CACHE_WORDS, BLOCK_WORDS, LONG_WORD, LONG_TEXT = 250_000, 200_000, 40, 200_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -81,6 +85,14 @@ class CharMap:
         n = struct.unpack_from("<I", blob)[0] if blob else 0
         self.units = struct.unpack_from(f"<{n // 4}I", blob, 4) if blob else ()
         self.values = blob[4 + n :] if blob else b""
+        #: Bytes with which a key can begin.
+        self.first = np.array([self._begins(b) for b in range(256)])
+
+    def _begins(self, byte: int) -> bool:
+        if not self.units:
+            return False
+        node = self._offset(self.units[0]) ^ byte
+        return node < len(self.units) and self.units[node] & 0x800000FF == byte
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """(bytes matched, replacement) of the longest key that data has at ``at``."""
@@ -178,46 +190,51 @@ class Model:
         line = "" if any("\n" in p for p in self.ids) else "\n"
         self.words = re.compile(r"(?s).+" if inner else f"{line or '(?!)'}|{MARK}*[^{MARK}{line}]+|{MARK}+")
         self.id_text = [str(i) for i in range(len(self.pieces))]
-        self.n_bytes = [len(p.replace(MARK, " ").encode()) for p in self.pieces]
-        self.cache: dict[str, tuple[str, str, bytes]] = {}
+        self.cache: dict[str, tuple[bytes, str, bytes, str]] = {}
 
     # Normalisation -------------------------------------------------------------------------------
 
-    def normalise(self, text: str) -> tuple[str, list[int]]:
+    def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text and, for each of its characters and its end, the source byte it comes from."""
-        data, out, at = text.encode(), [], 0
-        source: list[int] = []
-        while at < len(data):
-            hit = self.charmap.longest(data, at)
-            if hit:
-                n, value = hit[0], hit[1].decode()
-            else:
-                b = data[at]
-                n = 1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
-                value = data[at : at + n].decode()
-            out.extend(value)
-            source.extend([at] * len(value))
-            at += n
-        if self.remove_extra:
-            kept = [i for i, c in enumerate(out) if c != " " or (i and out[i - 1] != " ")]
-            while kept and out[kept[-1]] == " ":
-                kept.pop()
-            end = source[kept[-1] + 1] if kept and kept[-1] + 1 < len(source) else len(data)
-            out, source = [out[i] for i in kept], [source[i] for i in kept]
-        else:
-            end = len(data)
-        if not out:
-            return "", [end]
-        if self.add_dummy:
-            out.insert(0, " ")
-            source.insert(0, source[0])
-        return "".join(out).replace(" ", MARK), [*source, end]
-
-    def plain(self, text: str) -> str:
-        """As normalise(), without the record; with an empty map this is two replacements."""
-        if self.charmap.units or self.remove_extra:
-            return self.normalise(text)[0]
-        return (MARK if self.add_dummy else "") + text.replace(" ", MARK) if text else ""
+        data = text.encode()
+        raw = np.frombuffer(data, np.uint8)
+        source = np.flatnonzero((raw & 0xC0) != 0x80).astype(np.int32)  # where characters begin
+        keys = source[self.charmap.first[raw[source]]].tolist()
+        if keys:
+            text, source = self._mapped(data, source, keys)
+        end = len(data)
+        if self.remove_extra and text:
+            space = np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32
+            kept = np.flatnonzero(~space | ~np.concatenate([[True], space[:-1]]))
+            if len(kept) and space[kept[-1]]:
+                kept = kept[:-1]
+            if len(kept) and kept[-1] + 1 < len(source):
+                end = int(source[kept[-1] + 1])
+            text, source = "".join([text[i] for i in kept.tolist()]), source[kept]
+        if not text:
+            return "", np.array([end], np.int32)
+        dummy = self.add_dummy
+        return ((" " if dummy else "") + text).replace(" ", MARK), np.concatenate([source[:1] if dummy else source[:0], source, np.array([end], np.int32)])
+
+    def _mapped(self, data: bytes, source: np.ndarray, keys: list[int]) -> tuple[str, np.ndarray]:
+        """data with the longest key at each place replaced; keys: the places where one can begin."""
+        out, record, at = [], [], 0
+
+        def copy(to: int):
+            if to > at:
+                out.append(data[at:to].decode())
+                a, b = np.searchsorted(source, (at, to))
+                record.append(source[a:b])
+
+        for place in keys:
+            if place >= at and (hit := self.charmap.longest(data, place)):
+                copy(place)
+                value = hit[1].decode()
+                out.append(value)
+                record.append(np.full(len(value), place, np.int32))
+                at = place + hit[0]
+        copy(len(data))
+        return "".join(out), np.concatenate(record) if record else source[:0]
 
     # Encoding ------------------------------------------------------------------------------------
 
@@ -320,31 +337,35 @@ class Model:
             at += n
         return out
 
-    def encode_spans(self, text: str) -> list[tuple[int, int, int]]:
-        """(id, first byte, end byte) of every piece, in bytes of the text as given."""
+    def blocks(self, norm: str, words: list[str] | None = None):
+        """What the cache has of a normalised text's words, a bounded number at a time."""
+        found = iter(words) if words is not None else (m.group() for m in self.words.finditer(norm))
+        while part := list(islice(found, BLOCK_WORDS)):
+            if any(w not in self.cache for w in part):
+                self.learn(set(part))
+            yield [self.cache[w] for w in part]
+
+    def encode_spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, first bytes and end bytes of all pieces, in bytes of the text as given."""
         norm, source = self.normalise(text)
-        words = self.words.findall(norm)
-        out, at = [], 0
-        for word, symbols in zip(words, self.merge_words(words), strict=True):
-            for piece, n in self._with_bytes(word, symbols):
-                out.append((piece, source[at], source[at + n]))
-                at += n
-        return out
+        got = [w for block in self.blocks(norm) for w in block]
+        ids, covered = (np.frombuffer(b"".join([w[k] for w in got]), np.int32) for k in (0, 2))
+        ends = np.cumsum(covered)
+        return ids, source[ends - covered], source[ends]
 
     def learn(self, words: set[str]) -> None:
-        """Puts words into the cache: ids as text, what they decode to with a space for each mark, and the
-        source bytes that each piece covers (int32, a mark being the one byte of a space)."""
+        """Puts words into the cache: their ids, what they decode to with a space for each mark, and the number of
+        characters that each piece covers (int32)."""
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
         new = [w for w in words if w not in self.cache]
         for w, symbols in zip(new, self.merge_words(new), strict=True):
             if self.size - 1 not in symbols:
-                ids, spans = symbols, [self.n_bytes[i] for i in symbols]
+                ids, covered = symbols, [len(self.pieces[i]) for i in symbols]
             else:
-                got, at, spans = self._with_bytes(w, symbols), 0, []
-                for _, n in got:
-                    spans.append(len(w[at : at + n].replace(MARK, " ").encode()))
-                    at += n
-                ids = [i for i, _ in got]
-            self.cache[w] = (",".join([self.id_text[i] for i in ids]), self.decode_run(ids), array("i", spans).tobytes())
+                got = self._with_bytes(w, symbols)
+                ids, covered = [i for i, _ in got], [n for _, n in got]
+            self.cache[w] = (array("i", ids).tobytes(), self.decode_run(ids), array("i", covered).tobytes(), ",".join([self.id_text[i] for i in ids]))
 
     # Decoding ------------------------------------------------------------------------------------
 
@@ -396,36 +417,18 @@ def load(path: str) -> Model:
         return Model(f.read())
 
 
-def _chunks(texts, limit: int):
-    part, n = [], 0
-    for t in texts:
-        part.append(t or "")
-        n += len(part[-1])
-        if n >= limit:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
-
-
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids array<int>, starts array<int>, ends array<int>: every piece with its span of original bytes."""
 
-    def run(batches):
-        import pandas as pd
-
-        model = load(model_path)
-        for batch in batches:
-            got = [model.encode_spans(t or "") for t in batch["_t"]]
-            cols = {name: [[p[k] for p in g] for g in got] for k, name in enumerate(("ids", "starts", "ends"))}
-            yield pd.DataFrame({"_id": batch["_id"], **cols})
+    def work(texts):
+        return list(zip(*[load(model_path).encode_spans(t or "") for t in texts], strict=True))
 
-    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    kind = src.schema["_id"].dataType.simpleString()
-    return src.mapInPandas(run, f"_id {kind}, ids array<int>, starts array<int>, ends array<int>").withColumnRenamed("_id", id_col)
+    return map_texts(docs, id_col, [text_col], "ids array<int>, starts array<int>, ends array<int>", lambda: work)
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
+    small_batches(encoded.sparkSession)
+
     @F.pandas_udf("string")
     def run(ids):
         model = load(model_path)
@@ -437,42 +440,38 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: s
 def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """encode() and decode() of every text, of which only counts and digests leave the workers.
 
-    spans_crc32 is that of the pieces' ends as 32-bit numbers, last_end the last of them. Words carry the
-    source bytes of their pieces with them, so the ends are running sums; texts whose alignment is not
-    that simple (a compiled map, removed spaces, marks in the text itself) go through encode_spans().
+    spans_crc32 is that of the pieces' end bytes in the text as given (int32), last_end the last of them.
     """
 
-    def run(batches):
-        import pandas as pd
-
-        model = load(model_path)
-        for batch in batches:
-            n, ids, back, last, spans = [], [], [], [], []
-            simple = not (model.charmap.units or model.remove_extra) and model.add_dummy
-            for part in _chunks(batch["_t"], BATCH_CHARS):
-                docs_words = [model.words.findall(model.plain(t)) for t in part]
-                if len(model.cache) > CACHE_WORDS:
-                    model.cache.clear()
-                model.learn({w for words in docs_words for w in words})
-                for source, words in zip(part, docs_words, strict=True):
-                    got = [model.cache[w] for w in words]
-                    if simple and MARK not in source:
-                        ends = np.cumsum(np.frombuffer(b"".join([g[2] for g in got]), np.int32), dtype=np.int32) - 1
-                    else:
-                        ends = np.array([e for _, _, e in model.encode_spans(source)], np.int32)
-                    last.append(int(ends[-1]) if len(ends) else 0)
-                    spans.append(crc32(ends.tobytes()))
-                    text = ",".join([g[0] for g in got])
-                    n.append(text.count(",") + 1 if text else 0)
-                    ids.append(sha256(text.encode()).hexdigest())
-                    whole = "".join([g[1] for g in got])
-                    first = words[0].startswith(MARK) if words else False
-                    back.append(sha256((whole[1:] if first else whole).encode()).hexdigest())
-            yield pd.DataFrame({"_id": batch["_id"], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": back, "last_end": last, "spans_crc32": spans})
-
-    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    kind = src.schema["_id"].dataType.simpleString()
-    return src.mapInPandas(run, f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, last_end long, spans_crc32 long").withColumnRenamed("_id", id_col)
+    def one(model, norm, source, words):
+        n = at = last = spans = 0
+        ids, back = sha256(), sha256()
+        for block in model.blocks(norm, words):
+            ends = at + np.cumsum(np.frombuffer(b"".join([w[2] for w in block]), np.int32))
+            covered = source[ends]
+            spans, at, last = crc32(covered.tobytes(), spans), int(ends[-1]), int(covered[-1])
+            whole = "".join([w[1] for w in block])
+            ids.update(("," if n else "").encode() + ",".join([w[3] for w in block]).encode())
+            # The dummy mark's space is dropped.
+            back.update((whole[1:] if not n and norm.startswith(MARK) else whole).encode())
+            n += len(ends)
+        return n, ids.hexdigest(), back.hexdigest(), last, spans
+
+    def work(texts):
+        model, got, short = load(model_path), [None] * len(texts), []
+        for i, t in enumerate(texts):
+            if len(t or "") > LONG_TEXT:
+                got[i] = one(model, *model.normalise(t), None)
+            else:
+                norm, source = model.normalise(t or "")
+                short.append((i, norm, source, model.words.findall(norm)))
+        model.learn({w for s in short for w in s[3]})  # of all rows together: words of equal length are one matrix
+        for i, *rest in short:
+            got[i] = one(model, *rest)
+        return list(zip(*got, strict=True))
+
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string, last_end long, spans_crc32 long"
+    return map_texts(docs, id_col, [text_col], schema, lambda: work, rows=1000)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,17 @@ difference of the two sizes over the text's own size is its raw score, and a log
 labelled rows turns it into a probability of label 1.
 
 Fitting uses a bounded sample of the labelled rows: at most ``sample_docs`` of each class, those with the
-smallest hash of the id, of which half train the dictionaries and half the curve. Only the two
-dictionaries (``dict_bytes`` each) and two numbers travel to the executors. Scoring reads every whole
-text once and shuffles nothing.
+smallest hash of the id, and of these in that order as many as fit into ``sample_bytes`` a class (whole texts of at most
+``max_doc_bytes``); every second one trains the dictionaries, the others the curve. So the driver holds at most 2 x
+``sample_bytes`` of text. A dictionary sees no more text than the other class has, nor more than ``dict_text_bytes``.
+Only the two dictionaries (``dict_bytes`` each) and two numbers travel to the executors. Scoring reads every whole
+text once, a few rows at a time (``common.BATCH``), and shuffles nothing.
 
 Defined cases: null text counts as empty; an empty text has raw score 0, which the curve maps like any
-other; without labelled rows of both classes every score is 0.5 (with one class: the share of label 1);
-labels that are null, doubled or of unknown ids are skipped, counted twice, skipped.
+other; without labelled rows of both classes every score is 0.5 (with one class: 0.98 for label 1, 0.02 for label 0);
+labels that are null, doubled or of unknown ids are skipped, counted twice in the class shares, skipped; of rows that repeat
+a labelled id one is learned from; repeated rows and null ids are scored alike and kept; an empty table gives an empty
+result; only id and text are looked at, so no other column clashes.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_bucket, table
+from .common import discard, id_bucket, map_texts, table, written
 
 BLOCK = 2048
 LEVEL = 3
@@ -81,29 +85,38 @@ def _logistic(x: list[float], y: list[int], prior: float) -> tuple[float, float]
     return a / scale, b
 
 
-def fit(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, sample_docs: int = 1500, dict_bytes: int = 65536, max_doc_bytes: int = 1 << 20) -> dict:
+def fit(
+    docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, sample_docs: int = 1500, dict_bytes: int = 65536,
+    max_doc_bytes: int = 1 << 20, sample_bytes: int = 16 << 20, dict_text_bytes: int = 4 << 20,
+) -> dict:
     """labelled: id, label (0 or 1), held-out rows left out already."""
     labelled = labelled.where("label in (0, 1)")
     share = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(share) < 2:
         return {"good": b"", "bad": b"", "a": 0.0, "b": 0.0 if not share else (4.0 if 1 in share else -4.0)}
     order = [F.xxhash64("id"), F.col("id")]
-    chosen = [r for k in (0, 1) for r in labelled.where(F.col("label") == k).orderBy(*order).limit(sample_docs).collect()]
-    label = {r["id"]: r["label"] for r in chosen}
+    chosen = [r for k in (0, 1) for r in labelled.where((F.col("label") == k) & F.col("id").isNotNull()).groupBy("id").agg(F.lit(k).alias("label")).orderBy(*order).limit(sample_docs).collect()]
     spark = docs.sparkSession
-    ids = spark.createDataFrame([(k,) for k in label], docs.select(F.col(id_col).alias("_id")).schema)
-    # At most 2 x sample_docs texts reach the driver; those over max_doc_bytes are passed over.
-    got = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(F.octet_length("_t") <= max_doc_bytes).join(F.broadcast(ids), "_id", "left_semi")
-    rows = sorted((r["_id"], r["_t"].encode()) for r in got.toLocalIterator())
-    half = {0: [], 1: []}
-    rest = []
-    for n, (i, t) in enumerate(rows):
+    kind = docs.select(F.col(id_col).alias("_id")).schema["_id"].dataType.simpleString()
+    known = spark.createDataFrame([(r["id"], r["label"], n) for n, r in enumerate(chosen)], f"_id {kind}, _label int, _rank int")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(F.octet_length("_t") <= max_doc_bytes)
+    # One row of each id, of at most 2 x sample_docs, in the shared folder; the driver first sees lengths only.
+    sample = written(spark, texts.join(F.broadcast(known), "_id").groupBy("_rank", "_label").agg(F.min("_t").alias("_t")), "quality-sample")
+    room, picked = {0: sample_bytes, 1: sample_bytes}, []
+    for r in sample.select("_rank", "_label", F.octet_length("_t").alias("n")).orderBy("_rank").collect():
+        if r["n"] <= room[r["_label"]]:
+            room[r["_label"]] -= r["n"]
+            picked.append(r["_rank"])
+    rows = sample.where(F.col("_rank").isin(picked)).orderBy("_rank").collect() if picked else []
+    discard(sample)
+    half, rest = {0: [], 1: []}, []
+    for n, r in enumerate(rows):
         if n % 2:
-            rest.append((label[i], t))
+            rest.append((r["_label"], r["_t"].encode()))
         else:
-            half[label[i]].append(t)
+            half[r["_label"]].append(r["_t"].encode())
     # Both dictionaries come from equally much text, or the larger class would compress all better.
-    room = min(sum(map(len, half[0])), sum(map(len, half[1])), 4 << 20)
+    room = min(sum(map(len, half[0])), sum(map(len, half[1])), dict_text_bytes)
     cut = {}
     for k, texts in half.items():
         cut[k], left = [], room
@@ -120,18 +133,18 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, sample
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    def run(batches):
-        import pandas as pd
+    """id, score (probability of label 1), raw."""
 
+    def make():
         g, b = _compressor(model["good"]), _compressor(model["bad"])
-        for batch in batches:
-            raw = [_raw((t or "").encode(), g, b) for t in batch["_t"]]
-            p = [1 / (1 + math.exp(-max(-50, min(50, model["a"] * v + model["b"])))) for v in raw]
-            yield pd.DataFrame({"_id": batch["_id"], "score": p, "raw": raw})
-
-    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    kind = src.schema["_id"].dataType.simpleString()
-    return src.mapInPandas(run, f"_id {kind}, score double, raw double").withColumnRenamed("_id", id_col)
+
+        def work(texts):
+            raw = [_raw((t or "").encode(), g, b) for t in texts]
+            return [1 / (1 + math.exp(-max(-50, min(50, model["a"] * v + model["b"])))) for v in raw], raw
+
+        return work
+
+    return map_texts(docs, id_col, [text_col], "score double, raw double", make)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,37 @@
-"""Word shingles of texts as 64-bit hashes, for whole batches of texts at once in numpy."""
+"""Word shingles of texts as 64-bit hashes, each word hashed by BLAKE2b once per cache.
+
+Words are byte strings between ASCII white space, A-Z in lower case. A word's number is 64 bits of its BLAKE2b digest, so
+equal numbers of different words cannot be had by construction short of a search over about 2**32 words; a shingle mixes the
+numbers of its words in order. Sets are compared by these hashes: for a pair of texts with n different shingles the
+chance that any two of them fall together is about n * n / 2**65 (3e-14 for a thousand).
+"""
 
 from __future__ import annotations
 
+import re
+from hashlib import blake2b
+
 import numpy as np
 
 WORDS_PER_SHINGLE = 5
-CHUNK_BYTES = 500_000
+SLICE_BYTES, CACHE_WORDS = 1 << 20, 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
+
+
+class _Words(dict):
+    """Word -> 64 bits of its digest, kept for the words met last."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        out = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) < 64:
+            self[word] = out
+        return out
+
+
+_words = _Words()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -16,66 +41,51 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BASE = np.uint64(0x2545F4914F6CDD1D)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: list[np.ndarray] = []
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + CHUNK_BYTES // 4)
-        _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b)])) for b in (_BASE, _BASE_INVERSE)]
-    return _powers[0][:n], _powers[1][:n]
-
-
-def _chunk(texts: list[bytes], k: int) -> list[np.ndarray]:
-    data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    ends_of_text = np.cumsum([len(t) + 1 for t in texts])
-    space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
-    start, end = edge[0::2], edge[1::2]
-    up, down = _power(len(data))
-    total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * up)])
-    word = _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    first = np.searchsorted(start, np.concatenate([[0], ends_of_text]))
-    n = len(word) - k + 1
-    h = np.full(max(n, 0), np.uint64(k))
-    for i in range(k if n > 0 else 0):
-        h = _mix(h * _ODD + word[i : i + n])
-    out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b - a >= k:
-            out.append(np.unique(h[a : b - k + 1]))
-        elif b > a:
-            x = np.full(1, np.uint64(b - a))
-            for i in range(a, b):
-                x = _mix(x * _ODD + word[i : i + 1])
-            out.append(x)
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+def _slices(data: bytes):
+    """data cut at white space into parts of about SLICE_BYTES; longer words stay whole."""
+    at = 0
+    while len(data) - at > SLICE_BYTES:
+        cut = _SPACE.search(data, at + SLICE_BYTES)
+        end = cut.start() if cut else len(data)
+        yield data[at:end]
+        at = end
+    yield data[at:]
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    parts = []
+    for part in _slices((text or "").encode()):
+        words = part.lower().split()  # of bytes: lower() knows A-Z only, split() the six white-space characters
+        parts.append(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)))
+    return np.concatenate(parts)
 
 
 def shingle_sets(texts, k: int = WORDS_PER_SHINGLE):
     """The sorted distinct shingle hashes of each text (null: empty), in order."""
-    part, n = [], 0
+    words = [word_hashes(t) for t in texts]
+    if not words:
+        return
     with np.errstate(over="ignore"):
-        for t in texts:
-            part.append((t or "").encode().lower())  # bytes.lower() knows A-Z only
-            n += len(part[-1])
-            if n >= CHUNK_BYTES:
-                yield from _chunk(part, k)
-                part, n = [], 0
-        if part:
-            yield from _chunk(part, k)
+        every = np.concatenate(words)  # one pass over all texts; the few shingles across two texts are left out below
+        n = max(0, len(every) - k + 1)
+        h = np.full(n, np.uint64(k))
+        for i in range(k if n else 0):
+            h = _mix(h * _ODD + every[i : i + n])
+        at = 0
+        for w in words:
+            if len(w) >= k:
+                yield np.unique(h[at : at + len(w) - k + 1])
+            elif len(w):
+                x = np.full(1, np.uint64(len(w)))
+                for i in range(len(w)):
+                    x = _mix(x * _ODD + w[i : i + 1])
+                yield x
+            else:
+                yield np.zeros(0, np.uint64)
+            at += len(w)
 
 
 def signature(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that tell sets apart, whatever the order of their members."""
-    with np.errstate(over="ignore"):
-        a = _mix(s + np.uint64(len(s)) * _ODD).sum(dtype=np.uint64) if len(s) else np.uint64(0)
-        b = np.bitwise_xor.reduce(_mix(s * _BASE + np.uint64(7))) if len(s) else np.uint64(0)
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
+    """128 bits of the digest of a sorted set."""
+    d = blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
