@@ -5,7 +5,7 @@ Equal sets are one class, of which the smallest id stands for all. Then, with o
 1. Prefix. In the order of their hashes a class emits its first ``n - o + slack`` tokens. Any two linked
    classes share at least ``slack`` of these. Tokens that no other class emits are counted and left; of
    the rest, the rarest that still must contain ``common_probes`` shared ones are kept (the probe
-   tokens). Classes without probe tokens have no link. Rare-first probing keeps passages that many texts
+   tokens). Classes with fewer than ``least_shared`` tokens that others emit, too, have no link. Rare-first probing keeps passages that many texts
    share out of it.
 2. Groups. For each probe token the class most of whose tokens occur elsewhere too is the token's leader; a
    class belongs to the leader named by most of its tokens. Classes linked to their leader, checked
@@ -22,11 +22,14 @@ that, for every pair of linked classes either shares a linked group or passes al
 members that both link to their leader are not listed. ``near_links`` and ``count_links`` list and count every link: with
 them a class also queries its own linked group, which costs the square of a family's size, as its links do. The query
 op2, which asks for components, does without. Nothing is capped.
-Side tables of ids are broadcast only when counted to be at most ``max_broadcast_rows``.
+Side tables of ids are broadcast only when counted to be at most ``max_broadcast_rows``. Tokens, groups, leaders and
+classes with more than a thousandth of a join's rows are dealt in parts or joined by broadcast (there are fewer than 1,000).
 
+Sets are compared by 64-bit hashes of shingles over BLAKE2b word digests; ``shingles`` states the chance of a wrong decision.
 Defined cases: null ids get n_shingles but a null component and no links; null or empty texts and texts
-without words have no shingles and are alone; of rows that repeat an id with different texts the one with
-the smallest set signature takes part in links, and the component goes to all of them; empty input, empty result.
+without words have no shingles and are alone; very long texts are read whole, a slice at a time; of rows that repeat an id with
+different texts the one with the smallest set signature takes part in links, and the component goes to all of them; empty input,
+empty result; only id and text are looked at, and the id passes through workers untouched, so no other column clashes.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, join_groups, map_texts, table, written
+from .common import HOT_GROUPS, Scratch, discard, join_groups, join_split, map_texts, table, written
 from .components import components
 from .shingles import WORDS_PER_SHINGLE, shingle_sets, signature
 
@@ -55,6 +58,12 @@ def prefix_size(n: int, percent: int = 80) -> int:
     return min(n, n - needed(n, percent) + slack(n))
 
 
+def least_shared(n: int, percent: int = 80) -> int:
+    """A class that links has at least so many prefix tokens that other classes have in theirs: the slack of the smallest
+    partner possible."""
+    return slack(needed(n, percent))
+
+
 def common_probes(n: int) -> int:
     """Linked sets share at least this many probe tokens, n being the smaller one's size."""
     return max(1, slack(n) // 2)
@@ -78,47 +87,57 @@ def _sets(docs: DataFrame, k: int, percent: int, what: str) -> DataFrame:
         sets = list(shingle_sets(texts, k))
         a, b = zip(*map(signature, sets), strict=True)
         p = [prefix_size(len(s), percent) for s in sets]
-        return [len(s) for s in sets], a, b, p, [probe_size(len(s), percent) for s in sets], [s[:m].view(np.int64) for s, m in zip(sets, p, strict=True)]
+        least = [least_shared(len(s), percent) for s in sets]
+        return [len(s) for s in sets], a, b, p, [probe_size(len(s), percent) for s in sets], least, [s[:m].view(np.int64) for s, m in zip(sets, p, strict=True)]
 
     def whole(texts):
         sets = list(shingle_sets(texts, k))
         a, b = zip(*map(signature, sets), strict=True)
         return [len(s) for s in sets], a, b, [s.view(np.int64) for s in sets]
 
-    cols = {"prefix": "p int, probe int, tokens array<long>", "whole": "tokens array<long>"}[what]
+    cols = {"prefix": "p int, probe int, least int, tokens array<long>", "whole": "tokens array<long>"}[what]
     return map_texts(docs, "_id", ["_t"], f"n long, s1 long, s2 long, {cols}", lambda: {"prefix": prefix, "whole": whole}[what])
 
 
 def jaccard_links(pre: DataFrame, src: DataFrame, k: int, percent: int, max_broadcast_rows: int, after_prefix=lambda: None, size_step: float = 1.03, every: bool = False) -> DataFrame:
-    """Links a, b between classes. pre: _id, n, s1, s2, p, probe, tokens of one row of each; src: _id, _t.
+    """Links a, b between classes. pre: _id, n, s1, s2, p, probe, least, tokens of one row of each; src: _id, _t.
 
     every: all links, once each with a < b; else links with the same components, without those between two
     members of a linked group. after_prefix is called once pre is no longer read."""
     spark = src.sparkSession
-    rows = pre.select("_id", "n", "p", "probe", F.explode("tokens").alias("token"))
-    held = rows.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
-    shared = written(spark, rows.join(held, "token"), "shared-prefix")
+    rows = pre.select("_id", F.explode("tokens").alias("token"))
+    held = written(spark, rows.groupBy("token").agg(F.count("*").alias("held")).where("held > 1"), "held")
+    total = pre.agg(F.sum("p")).first()[0] or 0
+    few = held.where(F.col("held") * HOT_GROUPS > total)  # the fewer than HOT_GROUPS hot tokens; the rest is shuffled
+    cold = rows.join(F.broadcast(few.select("token")), "token", "left_anti").join(held.where(F.col("held") * HOT_GROUPS <= total), "token")
+    shared = written(spark, rows.join(F.broadcast(few), "token").unionByName(cold), "shared-prefix")
 
     # Probe tokens: of a class's prefix tokens the rarest `probe`, those held once counting first.
     w = Window.partitionBy("_id")
-    alone = F.col("p") - F.count("*").over(w)
+    several = F.count("*").over(w)
     rank = F.row_number().over(w.orderBy("held", "token"))
-    probes = written(spark, shared.withColumns({"alone": alone, "rank": rank}).where("rank <= probe - alone").select("_id", "n", "token"), "probes")
+    probes = shared.join(pre.select("_id", "n", "p", "probe", "least"), "_id").withColumns({"several": several, "rank": rank})
+    probes = written(spark, probes.where("several >= least and rank <= probe - (p - several)").select("_id", "n", "token"), "probes")
 
     # Whole sets of the classes that are left, and how many of their tokens others of these hold too.
     left = _maybe_broadcast(written(spark, probes.select("_id").distinct().join(pre.select("_id", "s1", "s2"), "_id"), "left"), max_broadcast_rows)
-    discard(shared)
+    discard(shared, held)
     after_prefix()
     again = _sets(src.join(left.select("_id"), "_id", "left_semi"), k, percent, "whole").join(left, ["_id", "s1", "s2"], "left_semi")
     whole = written(spark, again.select("_id", "n", "tokens"), "whole-sets", "snappy")
-    flat = whole.select("_id", "n", F.explode("tokens").alias("token"))
-    both = flat.groupBy("token").agg(F.count("*").alias("held")).where("held > 1").select("token")
-    sets = flat.join(both, "token").groupBy("_id", "n").agg(F.collect_list("token").alias("tokens"))
+    flat = whole.select("_id", F.explode("tokens").alias("token"))
+    both = flat.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    both = written(spark, both, "held-twice")
+    total = whole.agg(F.sum("n")).first()[0] or 0
+    few = both.where(F.col("held") * HOT_GROUPS > total).select("token")
+    cold = flat.join(F.broadcast(few), "token", "left_anti").join(both.where(F.col("held") * HOT_GROUPS <= total).select("token"), "token", "left_semi")
+    kept = flat.join(F.broadcast(few), "token", "left_semi").unionByName(cold)
+    sets = kept.groupBy("_id").agg(F.collect_list("token").alias("tokens")).join(whole.select("_id", "n"), "_id")
     # With i shared tokens at most, a partner has at most i * (100 + percent) / percent - n.
     reach = F.floor(F.size("tokens") * F.lit(100 + percent) / F.lit(percent) - F.col("n") + F.lit(1e-6))
     sets = sets.withColumn("reach", reach).where(F.col("reach") * 100 >= F.col("n") * percent)
-    sets = written(spark, sets, "sets", "snappy")
-    discard(whole)
+    sets = written(spark, sets.select("_id", "n", "tokens", "reach"), "sets", "snappy")
+    discard(whole, both)
     facts = sets.select("_id", "reach", (F.size("tokens") / F.col("n")).alias("centre"))
     live = written(spark, probes.join(facts, "_id"), "live-probes")
 
@@ -128,7 +147,8 @@ def jaccard_links(pre: DataFrame, src: DataFrame, k: int, percent: int, max_broa
     chosen = votes.groupBy("_id", "n").agg(F.max_by("leader", F.struct("votes", -F.col("n"), "leader")).alias("leader"))
     chosen = written(spark, chosen, "chosen")
 
-    star = written(spark, verified(chosen.where("_id <> leader").select(F.col("_id").alias("a"), F.col("leader").alias("b")), sets, percent), "star-links")
+    to_leader = written(spark, chosen.where("_id <> leader").select(F.col("_id").alias("a"), F.col("leader").alias("b")), "to-leader")
+    star = written(spark, verified(to_leader, sets, percent), "star-links")
     linked = star.select(F.col("a").alias("_id"), F.col("b").alias("in_star"))
     heads = star.select(F.col("b").alias("_id")).distinct().withColumn("heads", F.lit(True))
     size_class = F.floor(F.log("n") / F.log(F.lit(size_step)))
@@ -147,11 +167,11 @@ def jaccard_links(pre: DataFrame, src: DataFrame, k: int, percent: int, max_broa
 
     # Which group a class has to query, from the smaller group to the larger.
     holders = live.select("token", "group").distinct().join(about, "group").select("token", F.col("group").alias("g"), "members", "least", "farthest")
-    own = live.join(about.select("group", F.col("members").alias("own_members")), "group")
+    own = written(spark, live.join(about.select("group", F.col("members").alias("own_members")), "group"), "own-probes")
     larger = F.struct(F.col("members"), F.col("g")) > F.struct(F.col("own_members"), F.col("group"))
     meets_own = F.lit(True) if every else F.col("g.size_class") >= 0
     apart = ((F.col("g") == F.col("group")) & meets_own & (F.col("members") > 1)) | ((F.col("g") != F.col("group")) & larger)
-    ask = own.join(holders, "token").where(apart & (F.col("least") <= F.col("reach")) & (F.col("n") <= F.col("farthest")))
+    ask = join_split(own, holders, ["token"], ["_id"]).where(apart & (F.col("least") <= F.col("reach")) & (F.col("n") <= F.col("farthest")))
     least_n = F.ceil(F.col("n") * percent / 100)
     fewest = F.greatest(F.lit(1), F.floor(F.greatest(F.lit(1), F.floor(least_n * F.lit(SLACK) - F.lit(1e-9))) / 2))
     ask = ask.groupBy("_id", "n", "g", "least", (F.col("g") == F.col("group")).alias("inside")).agg(F.count("*").alias("met")).where(F.col("met") >= fewest)
@@ -173,7 +193,8 @@ def jaccard_links(pre: DataFrame, src: DataFrame, k: int, percent: int, max_broa
     unions = (matrix.join(large, "g", "left_anti") if any_large else matrix).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("union"))
     others = F.filter("union", lambda x: ~F.col("inside") | (x["held"] > 1))
     hits = F.array_intersect(F.transform(others, lambda x: x["token"]), F.col("tokens"))  # in the order of the union
-    met = ask.join(unions, "g").join(sets.select("_id", "tokens"), "_id").withColumn("hits", hits).withColumns({"upto": F.size("hits"), "need": need})
+    asking = ask.join(sets.select("_id", "tokens"), "_id")  # the query moves to the union, not the union to each query
+    met = join_split(asking, unions, ["g"], ["_id"], ask).withColumn("hits", hits).withColumns({"upto": F.size("hits"), "need": need})
     bound = met.where("upto >= need").select("_id", "n", "g", "upto", F.explode(F.slice("hits", F.lit(1), (F.col("upto") - F.col("need") + 1).cast("int"))).alias("token"))
     if any_large:  # unions too large for one row: the same, token by token
         pair = Window.partitionBy("_id", "g")
@@ -190,19 +211,20 @@ def jaccard_links(pre: DataFrame, src: DataFrame, k: int, percent: int, max_broa
     theirs = inside.select(F.col("_id").alias("m"), F.col("n").alias("mn"), F.col("reach").alias("mreach"), F.col("group").alias("g"), F.explode("tokens").alias("token"))
     fits = (F.col("mn") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("mn") * 100) & (F.col("n") <= F.col("mreach"))
     fits = fits & (F.col("upto") * (100 + percent) >= (F.col("n") + F.col("mn")) * percent) & (F.col("_id") != F.col("m"))
-    open_ = bound.join(theirs, ["g", "token"]).where(fits).select(F.least("_id", "m").alias("a"), F.greatest("_id", "m").alias("b")).distinct()
+    open_ = join_split(bound, theirs, ["g", "token"], ["_id"]).where(fits).select(F.least("_id", "m").alias("a"), F.greatest("_id", "m").alias("b")).distinct()
     if every:  # a star's links are met again within its group
         star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         open_ = open_.join(star, ["a", "b"], "left_anti")
-    return star.select("a", "b").unionByName(verified(open_, sets, percent))
+    return star.select("a", "b").unionByName(verified(written(spark, open_, "open-pairs"), sets, percent))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose sets overlap enough. Tokens held by one class alone cannot be shared."""
+    """The pairs a, b (a written table) whose sets overlap enough. Tokens held by one class alone cannot be shared. The pairs of a
+    class that is in very many are dealt in parts, from either side."""
     one = sets.select(F.col("_id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     two = sets.select(F.col("_id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    found = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", both.alias("i"))
+    found = join_split(join_split(pairs, one, ["a"], ["b"]), two, ["b"], ["a"], pairs).select("a", "b", "na", "nb", both.alias("i"))
     return found.where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b")
 
 
@@ -232,7 +254,8 @@ def _classes_and_links(docs: DataFrame, id_col: str, text_col: str, k: int, perc
 
 def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS_PER_SHINGLE, percent: int = 80, max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """a, b (a < b): every link between classes, each named by its class_id."""
-    return _classes_and_links(docs, id_col, text_col, k, percent, max_broadcast_rows, True)[3]
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.result(_classes_and_links(docs, id_col, text_col, k, percent, max_broadcast_rows, True)[3], "near-links")
 
 
 def near_duplicates(
@@ -240,6 +263,11 @@ def near_duplicates(
 ) -> DataFrame:
     """id, n_shingles, class_id (smallest id with an equal set), component_id of every row; with count_links
     also n_links, the number of other ids whose sets are equal or linked."""
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.result(_near_duplicates(docs, id_col, text_col, k, percent, max_broadcast_rows, count_links), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, max_broadcast_rows: int, count_links: bool) -> DataFrame:
     base, member, reps, links = _classes_and_links(docs, id_col, text_col, k, percent, max_broadcast_rows, count_links)
     found = components(links)
     named = member.select("_id", "rep").join(found, F.col("rep") == F.col("node"), "left").select("_id", "rep", F.coalesce("component", "rep").alias("component"))
