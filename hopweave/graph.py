@@ -47,6 +47,15 @@ class Graph:
         """id, row_start: how many edges have a smaller source."""
         return numbering.running_totals(self.degrees(), "id", "out_degree", "row_start")
 
-    def neighbours(self) -> DataFrame:
-        """src, k, dst: the k-th out-edge of each source, in the order of dst, from 0."""
-        return self.edges.select("src", "dst", (F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1).alias("k"))
+    def neighbours(self, k: int | None = None) -> DataFrame:
+        """src, dst, k: the k-th out-edge of each source, in the order of dst, from 0. With k given only that one: no
+        task then sorts or sends more than k + 1 edges of a source."""
+        at = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
+        out = self.edges.select("src", "dst", at.alias("_at"))
+        out = out if k is None else out.where(F.col("_at") == k + 1)
+        return out.select("src", "dst", (F.col("_at") - 1).alias("k"))
+
+
+def node_data(result: DataFrame, node: int) -> DataFrame:
+    """The row of one vertex of a result (id or node first): a filter that reaches the scan."""
+    return result.where(F.col(result.columns[0]) == node)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..plans.dealing import Dealt, deal
-from ..plans.fixpoint import Outcome, cut, iterate
+from ..plans.fixpoint import Outcome, counted_cut, cut, iterate
 from . import frontier as fr
 
 #: What reports print for an unreachable vertex. Fixed value.
@@ -32,25 +32,31 @@ def one_hop(active: DataFrame, visited: DataFrame, edges: DataFrame | Dealt, lev
 
 
 def data_driven(graph: Graph, source: int = 0, merge_every: int = 16) -> Outcome:
-    """Only the frontier is expanded; every level is cut and the levels are joined at the end."""
+    """Only the frontier is expanded. Every level is cut and counted in one job. Older levels lie together, dealt by id in memory, so
+    that a new level moves to them and not they to it; only the last few are joined as they are."""
     _checked(graph, source)
     edges = deal(graph.edges)
-    levels = [cut(graph.vertices.where(F.col("id") == source).select("id", F.lit(0).cast("long").alias("level")))]
-    size, level = 1, 0
+    first, _ = counted_cut(graph.vertices.where(F.col("id") == source).select("id", F.lit(0).cast("long").alias("level")))
+    old, recent, size, level = None, [first], 1, 0
     while size:
         level += 1
-        visited = reduce(DataFrame.unionByName, levels)
-        new = cut(one_hop(levels[-1].select("id"), visited, edges, level, size))
-        size = new.count()
+        new = one_hop(recent[-1].select("id"), reduce(DataFrame.unionByName, recent), edges, level, size)
+        new, size = counted_cut(new if old is None else fr.not_visited(new, old).select("id", "level"))
         if size:
-            levels.append(new)
-        if len(levels) > merge_every:
-            levels = [cut(reduce(DataFrame.unionByName, levels[:-1])), levels[-1]]
-    out = graph.vertices.join(reduce(DataFrame.unionByName, levels), "id", "left").select("id", "level")
+            recent.append(new)
+        if len(recent) > merge_every:
+            merged = reduce(DataFrame.unionByName, recent[:-1] if old is None else [old, *recent[:-1]])
+            merged = cut(merged).repartition("id").persist()
+            if old is not None:
+                old.unpersist()
+            old, recent = merged, recent[-1:]
+    edges.release()
+    levels = reduce(DataFrame.unionByName, recent if old is None else [old, *recent])
+    out = graph.vertices.join(levels, "id", "left").select("id", "level")
     return Outcome(out, level, True)
 
 
-def relax(levels: DataFrame, edges: DataFrame) -> DataFrame:
+def relax(levels: DataFrame, edges: DataFrame | Dealt) -> DataFrame:
     """One pass over all edges: every vertex takes the least of its level and its sources' plus one."""
     reached = fr.aggregate_messages(levels, edges, F.col("level") + 1, F.min)
     out = levels.join(reached, "id", "left")
@@ -72,6 +78,7 @@ def topology(graph: Graph, source: int = 0, rounds_per_job: int = 8) -> Outcome:
         return new.select("id", "level", (F.col("level").isNotNull() & ~F.col("level").eqNullSafe(F.col("own"))).alias("changed"))
 
     out = iterate(initial(graph, source), step, F.count_if("changed"), lambda n: not n, rounds_per_job=rounds_per_job)
+    moves.release()
     return Outcome(out.state.select("id", "level"), out.rounds, out.converged)
 
 

@@ -46,11 +46,13 @@ def work_offsets(frontier: DataFrame, graph: Graph) -> DataFrame:
     return mine.join(numbering.running_totals(mine, "id", "out_degree", "work_before"), "id")
 
 
-def aggregate_messages(state: DataFrame, edges: DataFrame, message, reduce) -> DataFrame:
+def aggregate_messages(state: DataFrame, edges: DataFrame | Dealt, message, reduce) -> DataFrame:
     """id, value: what the out-edges of state (id, ...) send, reduced at their ends.
 
     message is a Column over the state's and the edges' columns (null sends nothing), reduce an aggregate
-    function of a Column. Partial sums are made before the shuffle, so hubs receive one row a task.
+    function of a Column. Dealt edges split what a hub sends over tasks; partial sums are made before the
+    shuffle, so a hub as destination receives one row a task.
     """
-    sent = state.join(edges, F.col("id") == F.col("src")).select("dst", message.alias("_m")).where("_m is not null")
+    edges = edges if isinstance(edges, Dealt) else Dealt(edges, None)
+    sent = edges.out_edges(state).select("dst", message.alias("_m")).where("_m is not null")
     return sent.groupBy(F.col("dst").alias("id")).agg(reduce(F.col("_m")).alias("value"))

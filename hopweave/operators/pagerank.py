@@ -27,16 +27,16 @@ def initial(graph: Graph, alpha: float = ALPHA) -> DataFrame:
 
 def residual_start(graph: Graph, alpha: float = ALPHA) -> DataFrame:
     """id, residual: alpha (1 - alpha) times the sum over in-edges of one over the source's out-degree."""
-    degree = graph.edges.groupBy("src").agg(F.count("*").alias("d"))
-    got = graph.edges.join(degree, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.lit(1.0) / F.col("d")).alias("s"))
+    dealt = deal(graph.edges, weigh=lambda e: e.withColumn("share", F.lit(1.0) / F.col("degree")))
+    got = dealt.edges.groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("s"))
     return graph.vertices.join(got, "id", "left").select("id", (F.coalesce("s", F.lit(0.0)) * alpha * (1 - alpha)).alias("residual"))
 
 
 def weighted(graph: Graph, alpha: float = ALPHA) -> Dealt:
-    degree = graph.edges.groupBy("src").agg(F.count("*").alias("d"))
-    edges = graph.edges.join(degree, "src").select("src", "dst", (F.lit(alpha) / F.col("d")).alias("w"), F.lit(0.0).alias("hold"))
-    own = graph.vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w"), F.lit(1.0).alias("hold"))
-    return deal(edges, own)
+    own = graph.vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    hold = F.when(F.col("own"), F.lit(1.0)).otherwise(F.lit(0.0))
+    w = F.when(F.col("own"), F.lit(0.0)).otherwise(F.lit(alpha) / F.col("degree"))
+    return deal(graph.edges.select("src", "dst"), own, weigh=lambda e: e.withColumns({"w": w, "hold": hold}))
 
 
 def start(graph: Graph, alpha: float = ALPHA) -> DataFrame:
@@ -63,6 +63,7 @@ def pagerank(graph: Graph, mode: str = "topology", max_rounds: int | None = None
     measure = F.max("total") if mode == "topology" else F.max("passed")
     done = (lambda m: m is None or m <= epsilon) if mode == "topology" else (lambda m: not m)
     out = iterate(start(graph, alpha), lambda s, _: push(s, moves, mode, epsilon), measure, done, max_rounds, rounds_per_job)
+    moves.release()
     return Outcome(out.state.select(F.col("id").alias("node"), "p"), out.rounds, out.converged)
 
 

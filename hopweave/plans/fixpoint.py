@@ -12,6 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -22,10 +23,13 @@ class Outcome:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder, which driver and executors share; a local one only where none is named (tests)."""
+    """The checkpoint folder, which driver and executors share. Where none is named, a local one in local mode (tests); else it raises."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hopweave-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="hopweave-"))
     return context.getCheckpointDir()
 
 
@@ -34,6 +38,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted_cut(df: DataFrame) -> tuple[DataFrame, int]:
+    """cut() and the number of rows, which is observed in the same job."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def iterate(
     state: DataFrame, step: Callable[[DataFrame, int], DataFrame], measure: Column, done: Callable[[object], bool],
     max_rounds: int | None = None, rounds_per_job: int = 8,

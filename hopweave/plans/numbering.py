@@ -1,6 +1,6 @@
 """Positions and running totals over a whole table, range by range instead of in one task.
 
-Rows are dealt by range of the key; ranges are numbered by their smallest key, one total per range is
+Rows are dealt by range of the key and cut there, so that every later job sees the same ranges; one total per range is
 accumulated (as many rows as there are tasks), and each range adds its own part.
 """
 
@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fixpoint import cut
+
 
 def _in_ranges(df: DataFrame, keys: list[str]) -> DataFrame:
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(tasks, *keys).withColumn("_range", F.spark_partition_id()).persist()
+    return cut(df.repartitionByRange(tasks, *keys).withColumn("_range", F.spark_partition_id()))
 
 
 def _with_offsets(dealt: DataFrame, amount) -> DataFrame:
