@@ -4,12 +4,14 @@ Layout, little-endian: u64 version (1), u64 bytes of edge data, u64 nodes, u64 e
 node's edges, u32 destination of each edge, padding to 8 bytes, edge data (not read).
 
 A reading task takes a range of edges: it finds its first source by bisection over the offsets in the file
-and reads on from there, so files of any size are read in parallel.
+and reads on from there, so files of any size are read in parallel. Writing sorts and encodes ranges of offsets and of
+destinations in parallel, each as a part beside the file; the driver then joins the parts byte by byte, in blocks.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 from bisect import bisect_right
 
 import pyarrow.fs as pafs
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions import in_range
 from ..graph import EDGES, Graph
 
 HEADER = struct.Struct("<4Q")
@@ -126,16 +129,60 @@ def read_gr(spark: SparkSession, path: str, strict: bool = False, edges_per_task
     return Graph(spark.range(nodes), edges)
 
 
+def file_bytes(path: str) -> int:
+    """Size of a file, or of all data files of a folder."""
+    fs, inner = _at(path)
+    info = fs.get_file_info(inner)
+    if info.type == pafs.FileType.File:
+        return info.size
+    files = (f for f in fs.get_file_info(pafs.FileSelector(inner, recursive=True)) if f.type == pafs.FileType.File)
+    return sum(f.size for f in files if f.base_name[0] not in "._")
+
+
+def _write_parts(df: DataFrame, col: str, kind: str, folder: str) -> list[str]:
+    """The numbers of col, in the order of df's sorted ranges, as raw parts in folder; their names in order.
+
+    A part is named by attempt, and only the names that tasks returned are read: a repeated or lost attempt does no harm."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        fs, inner = _at(folder)
+        at, name = TaskContext.get().partitionId(), uuid.uuid4().hex
+        with fs.open_output_stream(f"{inner}/{name}") as f:
+            for batch in batches:
+                f.write(batch.column(0).to_numpy().astype(kind).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([name])], names=["at", "name"])
+
+    return [r["name"] for r in df.select(col).mapInArrow(run, "at int, name string").orderBy("at").collect()]
+
+
 def write_gr(graph: Graph, path: str) -> None:
-    """One file, rows streamed through the driver in order, never held there."""
-    nodes, edges = graph.vertices.count(), graph.edges.count()
+    """One file. Vertices must be 0..n-1, below 2**32, and edges must begin and end at vertices; else it raises."""
+    spark = graph.spark
+    nodes, low, high, kinds = graph.vertices.agg(F.count("*"), F.min("id"), F.max("id"), F.count_distinct("id")).first()
+    if nodes and (low, high, kinds) != (0, nodes - 1, nodes):
+        raise ValueError(f"vertices are not 0..{nodes - 1}, each once")
+    if nodes > 1 << 32:
+        raise ValueError("a destination has 32 bits")
+    edges, bad = graph.edges.agg(F.count("*"), F.coalesce(F.count_if(~(in_range("src", nodes) & in_range("dst", nodes))), F.lit(0))).first()
+    if bad:
+        raise ValueError(f"{bad} edges have an end that is no vertex")
     fs, inner = _at(path)
-    with fs.open_output_stream(inner, buffer_size=1 << 20) as f:
-        f.write(HEADER.pack(1, 0, nodes, edges))
-        end = 0
-        for r in graph.degrees().orderBy("id").toLocalIterator():
-            end += r["out_degree"]
-            f.write(struct.pack("<Q", end))
-        for r in graph.edges.orderBy("src", "dst").toLocalIterator():
-            f.write(struct.pack("<I", r["dst"]))
-        f.write(b"\0" * (edges % 2 * 4))
+    folder = f"{path}.parts-{uuid.uuid4().hex}"
+    fs.create_dir(_at(folder)[1])
+    try:
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ends = graph.row_starts().join(graph.degrees(), "id").select("id", (F.col("row_start") + F.col("out_degree")).alias("end"))
+        parts = _write_parts(ends.repartitionByRange(tasks, "id").sortWithinPartitions("id"), "end", "<u8", folder)
+        parts += _write_parts(graph.edges.repartitionByRange(tasks, "src", "dst").sortWithinPartitions("src", "dst"), "dst", "<u4", folder)
+        with fs.open_output_stream(inner) as f:
+            f.write(HEADER.pack(1, 0, nodes, edges))
+            for name in parts:
+                with _open(f"{folder}/{name}") as part:
+                    while block := part.read(16 << 20):
+                        f.write(block)
+            f.write(b"\0" * (edges % 2 * 4))
+    finally:
+        fs.delete_dir(_at(folder)[1])
