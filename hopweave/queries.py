@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from .functions import in_range
-from .graph import Graph
+from .graph import Graph, node_data
 from .operators import bfs, pagerank
 from .operators import frontier as fr
+from .plans.dealing import deal
 from .plans.fixpoint import cut, shared_dir
 from .sources import tables
+from .sources.edge_list import read_edge_list, write_edge_list
 from .sources.gr import invalid_edges, read_gr, write_gr
 
 SUCC_SQL = """v AS (SELECT p_partkey::BIGINT AS node FROM part),
@@ -84,10 +86,6 @@ def _first_hop(g: Graph):
     return bfs.one_hop(start, start, g.edges, 1, 1)
 
 
-def _frontier(g: Graph):
-    return g.vertices.where("id % 7 = 0").select("id")
-
-
 def _level(g: Graph):
     """The frontier of a search from 0 after one hop."""
     return _first_hop(g).select("id")
@@ -106,6 +104,13 @@ def _gr_roundtrip(spark, sf_dir):
     return cut(read_gr(spark, path, strict=True, edges_per_task=10_000).edges)
 
 
+def _edge_list(g: Graph):
+    """The edges written as an edge list to the shared folder and read from it."""
+    path = f"{shared_dir(g.spark)}/edges-{uuid.uuid4().hex}"
+    write_edge_list(g.edges, path)
+    return read_edge_list(g.spark, path, n=1).edges
+
+
 def _dd_step(g: Graph, rounds: int = 30):
     state, moves = pagerank.start(g), pagerank.weighted(g)
     for k in range(rounds):
@@ -117,7 +122,7 @@ def _dd_step(g: Graph, rounds: int = 30):
 
 _QUERIES = {
     # Scans and access
-    "edge_list_scan": ("succ", lambda g: g.edges, "x AS (SELECT 1)\nSELECT src, dst FROM e"),
+    "edge_list_scan": ("succ", _edge_list, "x AS (SELECT 1)\nSELECT src, dst FROM e"),
     "node_scan": ("ps", lambda g: g.vertices, "x AS (SELECT 1)\nSELECT node AS id FROM v"),
     "valid_nodes": ("succ", lambda g: g.edges.select((F.col("src") * 2).alias("node"), in_range(F.col("src") * 2, g.vertices.count()).alias("valid")).distinct(),
         "x AS (SELECT count(*) AS n FROM v)\nSELECT DISTINCT src * 2 AS node, src * 2 < n AS valid FROM e, x"),
@@ -128,23 +133,11 @@ _QUERIES = {
     "out_degree": ("ps", lambda g: g.degrees(), f"{DEG_SQL}\nSELECT id, out_degree FROM deg"),
     "csr_row_start": ("succ", lambda g: g.row_starts(),
         f"{DEG_SQL}\nSELECT id, coalesce(sum(out_degree) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS row_start FROM deg"),
-    "kth_neighbor": ("succ", lambda g: g.neighbours().where("k = 2").select("src", "dst"),
+    "kth_neighbor": ("succ", lambda g: g.neighbours(2).select("src", "dst"),
         "x AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS k FROM e)\nSELECT src, dst FROM x WHERE k = 2"),
-    "edge_by_id": ("succ", lambda g: g.numbered_edges().where("eid % 1000 = 0"),
-        "x AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS eid, src, dst FROM e)\nSELECT eid, src, dst FROM x WHERE eid % 1000 = 0"),
-    # Frontiers and shares of work
+    # Frontiers and shares of work; the frontier is a level of a search
     "degree_class": ("tree", fr.degree_classes,
         f"{DEG_SQL}\nSELECT id, out_degree, CASE WHEN out_degree >= 256 THEN 'heavy' WHEN out_degree >= 32 THEN 'medium' WHEN out_degree > 0 THEN 'light' ELSE 'none' END AS degree_class FROM deg"),
-    "heavy_frontier": ("succ", lambda g: fr.heavy_members(_frontier(g), g, 25), f"{DEG_SQL}\nSELECT id, out_degree FROM deg WHERE id % 7 = 0 AND out_degree >= 25"),
-    "work_prefix_sum": ("succ", lambda g: fr.work_offsets(_frontier(g), g),
-        f"{DEG_SQL}\nSELECT id, out_degree, coalesce(sum(out_degree) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS work_before FROM deg WHERE id % 7 = 0"),
-    "frontier_expand": ("succ", lambda g: fr.expand(_frontier(g), g.edges), "x AS (SELECT 1)\nSELECT src, dst FROM e WHERE src % 7 = 0"),
-    "frontier_dedupe": ("succ", lambda g: fr.dedupe(fr.expand(_frontier(g), g.edges).select(F.col("dst").alias("id"))), "x AS (SELECT 1)\nSELECT DISTINCT dst AS id FROM e WHERE src % 7 = 0"),
-    "frontier_compact": ("succ", lambda g: fr.not_visited(fr.dedupe(fr.expand(_frontier(g), g.edges).select(F.col("dst").alias("id"))), _frontier(g)),
-        "x AS (SELECT 1)\nSELECT DISTINCT dst AS id FROM e WHERE src % 7 = 0 AND dst % 7 <> 0"),
-    "frontier_size": ("succ", lambda g: fr.dedupe(fr.expand(_frontier(g), g.edges).select(F.col("dst").alias("id"))).agg(F.count("*").alias("size")),
-        "x AS (SELECT 1)\nSELECT count(DISTINCT dst) AS size FROM e WHERE src % 7 = 0"),
-    # The same over every edge, or a level of a search
     "edges_by_position": ("succ", lambda g: g.numbered_edges(), "x AS (SELECT 1)\nSELECT row_number() OVER (ORDER BY src, dst) - 1 AS eid, src, dst FROM e"),
     "level_heavy": ("succ", lambda g: fr.heavy_members(_level(g), g, 25), f"{DEG_SQL}, {LEVEL_SQL}\nSELECT id, out_degree FROM deg JOIN f USING (id) WHERE out_degree >= 25"),
     "level_work_prefix_sum": ("succ", lambda g: fr.work_offsets(_level(g), g),
@@ -155,7 +148,7 @@ _QUERIES = {
         f"{LEVEL_SQL}\nSELECT DISTINCT dst AS id FROM e JOIN f ON f.id = e.src WHERE dst <> 0 AND dst NOT IN (SELECT id FROM f)"),
     "level_size": ("succ", lambda g: fr.dedupe(fr.expand(_level(g), g.edges).select(F.col("dst").alias("id"))).agg(F.count("*").alias("size")),
         f"{LEVEL_SQL}\nSELECT count(DISTINCT dst) AS size FROM e JOIN f ON f.id = e.src"),
-    "aggregate_messages": ("succ", lambda g: fr.aggregate_messages(g.degrees(), g.edges, F.col("out_degree"), F.max),
+    "aggregate_messages": ("succ", lambda g: fr.aggregate_messages(g.degrees(), deal(g.edges), F.col("out_degree"), F.max),
         f"{DEG_SQL}\nSELECT dst AS id, max(out_degree) AS value FROM e JOIN deg ON deg.id = e.src GROUP BY 1"),
     # Hop distances
     "bfs_init": ("succ", lambda g: bfs.initial(g, 3), "x AS (SELECT 1)\nSELECT node AS id, CASE WHEN node = 3 THEN 0::BIGINT END AS level FROM v"),
@@ -171,10 +164,11 @@ _QUERIES = {
     "bfs_tree": ("tree", lambda g: bfs.topology(g, 1).state, _bfs_sql("tree", 1)),
     "bfs_ps": ("ps", lambda g: bfs.data_driven(g, g.vertices.agg(F.max("id")).first()[0]).state,
         _bfs_sql("ps").replace("SELECT 0::BIGINT, 0", "SELECT (SELECT max(node) FROM v), 0")),
+    "node_data": ("succ", lambda g: node_data(bfs.data_driven(g).state, 17), _bfs_sql("succ") + " WHERE v.node = 17"),
     # Ranks
     "pr_init": ("ps", lambda g: pagerank.initial(g).select("id", F.round("p", 6).alias("p"), "r", F.round("out", 9).alias("out")),
         f"{DEG_SQL}\nSELECT id, 0.15::DOUBLE AS p, 0.0::DOUBLE AS r, round(CASE WHEN out_degree > 0 THEN 0.85::DOUBLE * (1 - 0.85::DOUBLE) / out_degree END, 9) AS out FROM deg"),
-    "pr_push_once": ("succ", lambda g: fr.aggregate_messages(pagerank.initial(g), g.edges, F.col("out"), F.sum).select("id", F.round("value", 6).alias("received")),
+    "pr_push_once": ("succ", lambda g: fr.aggregate_messages(pagerank.initial(g), deal(g.edges), F.col("out"), F.sum).select("id", F.round("value", 6).alias("received")),
         f"{DEG_SQL}\nSELECT dst AS id, round(sum(0.85::DOUBLE * 0.15::DOUBLE / out_degree), 6) AS received FROM e JOIN deg ON deg.id = e.src GROUP BY 1"),
     "pr_step": ("succ", lambda g: pagerank.push(pagerank.start(g), pagerank.weighted(g)).select("id", p6(), F.round("passed", 6).alias("passed")),
         f"{DEG_SQL}, s AS (SELECT dst AS id, sum(0.85::DOUBLE * 0.15::DOUBLE / out_degree) AS t FROM e JOIN deg ON deg.id = e.src GROUP BY 1)\n"
@@ -207,6 +201,9 @@ _QUERIES = {
         _ranks_sql("succ", "topology") + "\nSELECT node, round(p / sum(p) OVER (), 9) AS p FROM ranks"),
 }
 
+#: Of each query the graph it runs on, by its name in GRAPHS, and what it runs there.
+GRAPH_OF = {name: graph for name, (graph, _, _) in _QUERIES.items()}
+ON_GRAPH = {name: run for name, (_, run, _) in _QUERIES.items()}
 QUERIES = {name: _on(graph, run) for name, (graph, run, _) in _QUERIES.items()} | {"gr_roundtrip": _gr_roundtrip}
 ORACLES = {name: sql if sql.startswith("WITH") else _with(graph, sql) for name, (graph, _, sql) in _QUERIES.items()}
 ORACLES["gr_roundtrip"] = ORACLES["edge_list_scan"]

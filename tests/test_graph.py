@@ -5,12 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from hopweave import cli
-from hopweave.graph import Graph
+from hopweave.graph import Graph, node_data
 from hopweave.operators import bfs, pagerank
 from hopweave.operators import frontier as fr
 from hopweave.plans import dealing
 from hopweave.sources.edge_list import read_edge_list, write_edge_list
-from hopweave.sources.gr import invalid_edges, read_gr, read_header, write_gr
+from hopweave.sources.gr import file_bytes, invalid_edges, read_gr, read_header, write_gr
+from hopweave.sources.reports import throughput_line
 
 TREE = [(0, 1), (0, 2), (1, 3), (1, 4), (2, 5), (2, 6)]
 CYCLE = [(0, 1), (1, 2), (2, 0)]
@@ -115,6 +116,46 @@ def test_hubs_are_split(spark, monkeypatch, broadcast):
     assert len(parts) == -(-sum(s == 7 for s, _ in edges) // 20)
     assert levels(bfs.data_driven(g, 7)) == levels(bfs.topology(g, 7)) == _plain_levels(n, edges, 7)
     assert ranks(pagerank.pagerank(g, max_rounds=6)) == pytest.approx(_plain_ranks(n, edges, 6))
+    weighed = pagerank.weighted(g)
+    parts = {r["_part"]: r["n"] for r in weighed.edges.where("src = 7 and hold = 0").groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    assert len(parts) > 4 and max(parts.values()) < 80  # a hub's edges never meet, not even to be weighed
+    degree = {i: sum(s == i for s, _ in edges) for i in range(n)}
+    want = {i: sum(1 / degree[s] for s, d in edges if d == i) * 0.85 * 0.15 for i in range(n)}
+    assert {r["id"]: r["residual"] for r in pagerank.residual_start(g).collect()} == pytest.approx(want)
+    sent = fr.aggregate_messages(g.degrees(), dealt, F.col("out_degree"), F.sum)
+    assert {r["id"]: r["value"] for r in sent.collect()} == {i: sum(degree[s] for s, d in edges if d == i) for i in {d for _, d in edges}}
+
+
+def test_hubs_are_never_many(spark, monkeypatch):
+    monkeypatch.setattr(dealing, "HUB_EDGES", 1)
+    monkeypatch.setattr(dealing, "MAX_HUBS", 5)
+    g = graph(spark, [(s, d) for s in range(30) for d in range(3 + (s == 4) * 40)], 50)
+    assert [r["_hub"] for r in dealing.deal(g.edges).hubs.collect()] == [4]
+
+
+def test_nothing_stays_in_storage(spark):
+    spark.catalog.clearCache()
+    g = graph(spark, TREE)
+    bfs.data_driven(g, merge_every=1), bfs.topology(g), pagerank.pagerank(g), g.row_starts().collect(), g.numbered_edges().collect()
+    kept = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    assert kept <= 1  # the merged levels of the first, which its result reads
+
+
+def test_levels_merged_early(spark):
+    g = graph(spark, [(i, i + 1) for i in range(12)] + [(i, 0) for i in range(5)], 15)
+    assert levels(bfs.data_driven(g, merge_every=1)) == levels(bfs.data_driven(g, merge_every=3)) == [*range(13), None, None]
+
+
+def test_kth_neighbour_is_limited_before_the_shuffle(spark):
+    g = graph(spark, [(0, d) for d in range(50)] + [(1, 3), (1, 2)])
+    third = g.neighbours(1)
+    assert sorted(map(tuple, third.collect())) == sorted(map(tuple, g.neighbours().where("k = 1").collect())) == [(0, 1, 1), (1, 3, 1)]
+    assert "WindowGroupLimit" in third._jdf.queryExecution().executedPlan().toString()
+
+
+def test_node_data(spark):
+    out = bfs.data_driven(graph(spark, TREE)).state
+    assert [tuple(r) for r in node_data(out, 5).collect()] == [(5, 2)] and node_data(out, 99).count() == 0
 
 
 def test_degree_classes_at_their_edges(spark):
@@ -140,6 +181,20 @@ def test_gr_round_trip(spark, tmp_path):
     assert sorted((r["src"], r["dst"]) for r in got.edges.collect()) == sorted(edges) and got.vertices.count() == 40
 
 
+def test_gr_writer_checks_both_ends(spark, tmp_path):
+    path = str(tmp_path / "g.gr")
+    for edges, n in ([(7, 2)], 3), ([(0, 1 << 32)], 3), ([(0, -1)], 3), ([(-1, 0)], 3):
+        with pytest.raises(ValueError, match="no vertex"):
+            write_gr(graph(spark, edges, n), path)
+    with pytest.raises(ValueError, match="vertices"):
+        write_gr(Graph(spark.range(1, 4), spark.createDataFrame([], "src long, dst long")), path)
+    for edges, n in ([], 0), ([], 3), ([(2, 0)], 3), ([(0, 0)] * 5, 1):
+        write_gr(graph(spark, edges, n), path)
+        assert read_header(path) == (n, len(edges)) and [tuple(r) for r in read_gr(spark, path).edges.collect()] == edges
+        assert file_bytes(path) == 32 + 8 * n + 4 * (len(edges) + len(edges) % 2)
+    assert [f.name for f in tmp_path.iterdir()] == ["g.gr"]  # no part is left
+
+
 def test_gr_faults(spark, tmp_path):
     path = str(tmp_path / "bad.gr")
     with pytest.raises(OSError):
@@ -164,5 +219,9 @@ def test_edge_list_and_command_line(spark, tmp_path, capsys):
     cli.main(["pagerank_topology", text, "-t", "2", "-n", "-o", "-"], spark)
     out = capsys.readouterr().out.splitlines()
     assert out[-2:] == ["3", "4"] and "sum: 1.540875 (7)" in out
+    assert any(line.startswith("read 24 bytes in ") and line.endswith("MB/s)") for line in out) and any("3 rounds, 4 partitions" in line for line in out)
+    cli.main(["pagerank_topology", text, "-t", "5", "-o", "-"], spark)
+    assert capsys.readouterr().out.splitlines()[-5:] == ["3 0.240844", "4 0.240844", "5 0.240844", "6 0.240844", "1 0.213750"]
+    assert throughput_line(5_000_000, 2_000_000_000) == "read 5000000 bytes in 2000 ms (2.50 MB/s)"
     cli.main(["pagerank_data_driven", text, "-q", "-o", "-"], spark)
     assert "0 0." not in capsys.readouterr().out
