@@ -1,6 +1,6 @@
 """Operator 10, secret scans with a random forest. DataFrame and SQL functions only.
 
-One pattern finds candidates: long runs of key characters with a digit, whole private key blocks (to their END line;
+One pattern finds candidates: long runs of key characters with a digit or a known key's first letters, whole private key blocks (to their END line;
 without one, the lines of base64 after BEGIN), any value assigned to a key word (password, token, secret, api key and
 the like, of any characters), and passwords in the user part of a url. A random forest (pyspark.ml) then removes
 false positives. It looks at the candidate's length, its character classes and the transitions between them (with the
@@ -44,7 +44,7 @@ LEAD = (
 USER = r"://[^\s/:@\"']{1,128}:"
 CANDIDATE = (
     rf"{PEM}|{LEAD}(?:\"[^\"\n]{{6,512}}(?=\")|'[^'\n]{{6,512}}(?=')|[\"']?[^\s\"']{{5,}}[^\s\"';,.)\]}}>])|{USER}[^\s/@\"']{{3,128}}(?=@)"
-    rf"|(?<![{KEY_CHARS}])(?=[A-Za-z+/_.\-]*[0-9])[{KEY_CHARS}]{{16,}}={{0,2}}"
+    rf"|(?<![{KEY_CHARS}])(?=(?:A[KS]IA|gh[pousr]_|glpat-|xox[abprs]-|sk_live_|sk-|AIza|npm_)|[A-Za-z+/_.\-]*[0-9])[{KEY_CHARS}]{{16,}}={{0,2}}"
 )
 VALUE = rf"(?s)^(?:{LEAD}[\"']?|{USER})?(.*)$"
 BEFORE, AFTER = 80, 40
