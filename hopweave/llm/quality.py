@@ -2,8 +2,9 @@
 
 Two zstandard dictionaries are trained, one on text labelled good and one on text labelled bad. A text is
 compressed with each, in blocks so that the dictionary counts over the whole of a long text too; the
-difference of the two sizes over the text's own size is its raw score, and a logistic curve fitted on
-labelled rows turns it into a probability of label 1.
+difference of the two sizes over the text's own size is its raw score, and a rising curve fitted on
+labelled rows turns it into a probability of label 1: nine parts the isotonic fit (pooled neighbours, joined by
+lines), one part the logistic, which keeps texts apart where the isotonic fit is level.
 
 Fitting uses a bounded sample of the labelled rows: at most ``sample_docs`` of each class, those with the
 smallest hash of the id, and of these in that order as many as fit into ``sample_bytes`` a class (whole texts of at most
@@ -22,6 +23,7 @@ result; only id and text are looked at, so no other column clashes.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +87,34 @@ def _logistic(x: list[float], y: list[int], prior: float) -> tuple[float, float]
     return a / scale, b
 
 
+def _isotonic(x: list[float], y: list[int], prior: float) -> list[tuple[float, float]]:
+    """(raw score, probability) of pooled neighbours, both rising; rows are weighted to the class shares."""
+    n1 = sum(y)
+    w = [prior / (1 - prior) * (len(y) - n1) / n1 if t else 1.0 for t in y]
+    blocks: list[list[float]] = []  # weight, weight of label 1, weighted sum of scores
+    for v, t, k in sorted(zip(x, y, w, strict=True)):
+        blocks.append([k, k * t, k * v])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
+            last = blocks.pop()
+            blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
+    return [(s / n, min(0.995, max(0.005, g / n))) for n, g, s in blocks]
+
+
+def probability(model: dict, raw: float) -> float:
+    """The curve at a raw score."""
+    p = 1 / (1 + math.exp(-max(-50, min(50, model["a"] * raw + model["b"]))))
+    points = model.get("points")
+    if not points:
+        return p
+    at = bisect_left(points, (raw,))
+    if at in (0, len(points)):
+        level = points[min(at, len(points) - 1)][1]
+    else:
+        (x0, p0), (x1, p1) = points[at - 1 : at + 1]
+        level = p0 + (p1 - p0) * (raw - x0) / (x1 - x0)
+    return 0.9 * level + 0.1 * p
+
+
 def fit(
     docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, sample_docs: int = 1500, dict_bytes: int = 65536,
     max_doc_bytes: int = 1 << 20, sample_bytes: int = 16 << 20, dict_text_bytes: int = 4 << 20,
@@ -129,7 +159,8 @@ def fit(
     x, y = [_raw(t, g, b) for _, t in rest], [k for k, _ in rest]
     prior = share[1] / (share[0] + share[1])
     slope, offset = _logistic(x, y, prior) if 0 < sum(y) < len(y) else (0.0, math.log(prior / (1 - prior)))
-    return {"good": good, "bad": bad, "a": slope, "b": offset}
+    points = _isotonic(x, y, prior) if slope > 0 else []
+    return {"good": good, "bad": bad, "a": slope, "b": offset, "points": points}
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,7 +171,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
         def work(texts):
             raw = [_raw((t or "").encode(), g, b) for t in texts]
-            return [1 / (1 + math.exp(-max(-50, min(50, model["a"] * v + model["b"])))) for v in raw], raw
+            return [probability(model, v) for v in raw], raw
 
         return work
 

@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,6 +246,8 @@ def test_op6(spark, sf, rows, tmp_path):
         blocks = [data[k : k + 2048] for k in range(0, len(data), 2048)]
         raw = sum(len(bad.compress(b)) - len(good.compress(b)) for b in blocks) / (len(data) + 64)
         p = 1 / (1 + math.exp(-model["a"] * raw - model["b"]))
+        if model["points"]:
+            p = 0.1 * p + 0.9 * np.interp(raw, *zip(*model["points"], strict=True))
         assert got[i]["held_out"] == (fold(i, 5) == 0) and abs(got[i]["score"] - p) < 1e-9 and got[i]["predicted"] == int(p >= 0.3)
     # Labels of held-out rows change nothing.
     spark.read.parquet(f"{sf}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
@@ -253,6 +256,20 @@ def test_op6(spark, sf, rows, tmp_path):
     assert {r["doc_id"]: r["score"] for r in run(spark, str(tmp_path), "op6_quality").collect()} == {i: r["score"] for i, r in got.items()}
 
 
+def test_isotonic_curve():
+    rnd = random.Random(3)
+    x = [rnd.uniform(-1, 1) for _ in range(4000)]
+    y = [int(rnd.random() < (0.1 if v < 0 else 0.8)) for v in x]
+    share = sum(y) / len(y)
+    points = quality._isotonic(x, y, share)
+    assert points == sorted(points) and [p for _, p in points] == sorted(p for _, p in points)
+    at = lambda v, **kw: quality.probability({"points": points, "a": 0.0, "b": 0.0, **kw}, v)
+    assert abs(at(-0.5) - 0.1 * 0.9 - 0.05) < 0.05 and abs(at(0.5) - 0.8 * 0.9 - 0.05) < 0.05
+    assert at(-9, a=1.0) < at(-5, a=1.0) < at(5, a=1.0) < at(9, a=1.0)
+    half = quality._isotonic(x, y, share / 2)  # fewer of label 1 than in the sample
+    assert half[len(half) // 4][1] <= points[-1][1] and min(p for _, p in half) < 0.08
+
+
 def test_op7(spark, sf, rows):
     tokenizers, sp = pytest.importorskip("public_tokenizers"), pytest.importorskip("sentencepiece")
     lib = sp.SentencePieceProcessor(model_file=tokenizers.path("piece_bpe_32k.model"))
