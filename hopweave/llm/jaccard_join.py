@@ -37,8 +37,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_GROUPS, Scratch, discard, join_groups, join_split, map_texts, table, written
+from .common import Scratch, discard, join_groups, join_split, map_texts, table, written
 from .components import components
+from .heavy import heavy_values
 from .shingles import WORDS_PER_SHINGLE, shingle_sets, signature
 
 SLACK = 0.06  # of n
@@ -106,11 +107,7 @@ def jaccard_links(pre: DataFrame, src: DataFrame, k: int, percent: int, max_broa
     members of a linked group. after_prefix is called once pre is no longer read."""
     spark = src.sparkSession
     rows = pre.select("_id", F.explode("tokens").alias("token"))
-    held = written(spark, rows.groupBy("token").agg(F.count("*").alias("held")).where("held > 1"), "held")
-    total = pre.agg(F.sum("p")).first()[0] or 0
-    few = held.where(F.col("held") * HOT_GROUPS > total)  # the fewer than HOT_GROUPS hot tokens; the rest is shuffled
-    cold = rows.join(F.broadcast(few.select("token")), "token", "left_anti").join(held.where(F.col("held") * HOT_GROUPS <= total), "token")
-    shared = written(spark, rows.join(F.broadcast(few), "token").unionByName(cold), "shared-prefix")
+    shared = written(spark, _held_by_several(pre, rows), "shared-prefix")
 
     # Probe tokens: of a class's prefix tokens the rarest `probe`, those held once counting first.
     w = Window.partitionBy("_id")
@@ -121,23 +118,17 @@ def jaccard_links(pre: DataFrame, src: DataFrame, k: int, percent: int, max_broa
 
     # Whole sets of the classes that are left, and how many of their tokens others of these hold too.
     left = _maybe_broadcast(written(spark, probes.select("_id").distinct().join(pre.select("_id", "s1", "s2"), "_id"), "left"), max_broadcast_rows)
-    discard(shared, held)
+    discard(shared)
     after_prefix()
     again = _sets(src.join(left.select("_id"), "_id", "left_semi"), k, percent, "whole").join(left, ["_id", "s1", "s2"], "left_semi")
     whole = written(spark, again.select("_id", "n", "tokens"), "whole-sets", "snappy")
     flat = whole.select("_id", F.explode("tokens").alias("token"))
-    both = flat.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
-    both = written(spark, both, "held-twice")
-    total = whole.agg(F.sum("n")).first()[0] or 0
-    few = both.where(F.col("held") * HOT_GROUPS > total).select("token")
-    cold = flat.join(F.broadcast(few), "token", "left_anti").join(both.where(F.col("held") * HOT_GROUPS <= total).select("token"), "token", "left_semi")
-    kept = flat.join(F.broadcast(few), "token", "left_semi").unionByName(cold)
-    sets = kept.groupBy("_id").agg(F.collect_list("token").alias("tokens")).join(whole.select("_id", "n"), "_id")
+    sets = _held_by_several(whole, flat).groupBy("_id").agg(F.collect_list("token").alias("tokens")).join(whole.select("_id", "n"), "_id")
     # With i shared tokens at most, a partner has at most i * (100 + percent) / percent - n.
     reach = F.floor(F.size("tokens") * F.lit(100 + percent) / F.lit(percent) - F.col("n") + F.lit(1e-6))
     sets = sets.withColumn("reach", reach).where(F.col("reach") * 100 >= F.col("n") * percent)
     sets = written(spark, sets.select("_id", "n", "tokens", "reach"), "sets", "snappy")
-    discard(whole, both)
+    discard(whole)
     facts = sets.select("_id", "reach", (F.size("tokens") / F.col("n")).alias("centre"))
     live = written(spark, probes.join(facts, "_id"), "live-probes")
 
@@ -218,6 +209,16 @@ def jaccard_links(pre: DataFrame, src: DataFrame, k: int, percent: int, max_broa
     return star.select("a", "b").unionByName(verified(written(spark, open_, "open-pairs"), sets, percent))
 
 
+def _held_by_several(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """_id, token, held of the rows (the tokens of sets, exploded) whose token several rows have. One shuffle of the rows:
+    those of a token meet in a window, but for the few heavy tokens, which are known before and whose held is a lower bound."""
+    total = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    heavy = F.broadcast(heavy_values(sets, "tokens", total))
+    held = F.count("*").over(Window.partitionBy("token")).alias("held")
+    light = rows.join(heavy.select("token"), "token", "left_anti").select("_id", "token", held).where("held > 1")
+    return rows.join(heavy, "token").select("_id", "token", "held").unionByName(light)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b (a written table) whose sets overlap enough. Tokens held by one class alone cannot be shared. The pairs of a
     class that is in very many are dealt in parts, from either side."""

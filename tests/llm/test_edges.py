@@ -1,12 +1,14 @@
 """Ids of all kinds, very long texts, broken media, hostile words: what tables of ordinary rows do not show."""
 
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hopweave.llm import common, gif, jaccard_join, langid, packing, pieces, quality, secrets, shingles, url_filter, warc
-from tests.llm.test_operators import docs, plain_components, plain_sets
+from hopweave.llm import common, gif, heavy, jaccard_join, langid, packing, pieces, quality, secrets, shingles, url_filter, warc
+from tests.llm.test_operators import docs, families, plain_components, plain_sets
 
 IDS = [2**53 + 1, 2**63 - 1, -5, 0, None, None, 2**53 + 3]
 KNOWN = {"en": langid.top(*langid.gram_counts("the of and to that this"), 400)}
@@ -143,6 +145,18 @@ def just_below(rnd, n, words=200, changed=8):
     return out
 
 
+def scattered(rnd, n, words=400, places=6):
+    """Texts of one base with single words changed all over: nearly all pairs are at about 0.74, linked with none, and every
+    text passes the bound of its group."""
+    out = []
+    for _ in range(n):
+        w = [f"b{k}" for k in range(words)]
+        for at in rnd.sample(range(words), places):
+            w[at] = f"own{rnd.randrange(10**9)}"
+        out.append(" ".join(w))
+    return out
+
+
 def test_family_just_below_the_threshold(spark, monkeypatch):
     monkeypatch.setattr(common, "LEAST_SHARE", 3)  # hot keys are split
     rows = list(enumerate(just_below(random.Random(6), 90)))
@@ -151,6 +165,10 @@ def test_family_just_below_the_threshold(spark, monkeypatch):
     assert sum(0.7 <= p < 0.8 for p in pairs) > 0.5 * len(pairs) and any(p >= 0.8 for p in pairs)
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(docs(spark, rows)).collect()}
     assert got == plain_components(sets)
+    rows = list(enumerate(scattered(random.Random(7), 60)))
+    sets = plain_sets(rows)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(docs(spark, rows)).collect()}
+    assert got == plain_components(sets)
 
 
 def test_hot_keys_are_split(spark, monkeypatch):
@@ -161,6 +179,32 @@ def test_hot_keys_are_split(spark, monkeypatch):
     assert got == sorted(map(tuple, rows.join(other, "k").select("id", "k", "x").collect())) and len(got) == 3000 + 1250
 
 
+def test_heavy_values(spark, monkeypatch):
+    rnd = random.Random(5)
+    arrays = [[rnd.choice([1, 2, 3, 4, rnd.randrange(10**6)]) for _ in range(50)] for _ in range(400)]
+    plain = Counter(v for a in arrays for v in a)
+    df = spark.createDataFrame([(a,) for a in [*arrays, [], None]], "tokens array<long>").repartition(3)
+    monkeypatch.setattr(heavy, "LEAST_SHARE", 500)
+    got = {r["token"]: r["held"] for r in heavy.heavy_values(df, "tokens", 20_000).collect()}
+    assert set(got) == {1, 2, 3, 4} and all(400 < got[v] <= plain[v] for v in got)
+    monkeypatch.setattr(heavy, "LEAST_SHARE", 10**6)
+    assert heavy.heavy_values(df, "tokens", 20_000).count() == 0
+    for most in (3, 10, 1000):  # no count is too small by more than the values over the counters
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for a in arrays:
+            keys, counts = heavy.merge(keys, counts, np.array(a), most)
+        low = dict(zip(keys.tolist(), counts.tolist(), strict=True))
+        assert len(low) <= most and all(n - 20_000 / most <= low.get(v, 0) <= n for v, n in plain.items())
+
+
+def test_jaccard_join_with_heavy_tokens(spark, monkeypatch):
+    monkeypatch.setattr(heavy, "LEAST_SHARE", 8)
+    monkeypatch.setattr(common, "LEAST_SHARE", 8)
+    rows = families(11, 120)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(docs(spark, rows)).collect()}
+    assert got == plain_components(plain_sets(rows))
+
+
 # GIF
 
 
