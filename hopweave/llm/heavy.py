@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_GROUPS, LEAST_SHARE, small_batches, written
+from .common import HOT_GROUPS, LEAST_SHARE, give_back, small_batches, written
 
 #: Counters a task keeps. A task's counts are too small by at most its values / COUNTERS.
 COUNTERS = 4 * HOT_GROUPS
@@ -37,6 +37,7 @@ def heavy_values(arrays: DataFrame, col: str, total: int) -> DataFrame:
         for batch in batches:
             keys, counts = merge(keys, counts, batch.column(0).flatten().to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["token", "n"])
+        give_back()
 
     share = max(LEAST_SHARE, total / HOT_GROUPS)
     summed = arrays.select(col).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("held"))

@@ -14,7 +14,7 @@ from hashlib import blake2b
 import numpy as np
 
 WORDS_PER_SHINGLE = 5
-SLICE_BYTES, CACHE_WORDS = 1 << 20, 200_000
+SLICE_BYTES, CACHE_WORDS = 1 << 20, 60_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
 

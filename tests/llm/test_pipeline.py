@@ -52,3 +52,14 @@ def test_stages_with_clashing_columns(spark, tmp_path):
     got = state.collect()
     assert sorted(r["doc_id"] for r in got) == [1, 3] and all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names)
     assert all(KEY not in r["text"] for r in got)
+
+
+def test_namesakes_of_near_copies_stay(spark, tmp_path):
+    base = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, base), (2, base + " more"), (2, "another text that only shares its id with a near copy"), (None, base + " and"), (3, base.upper() + " x"), (4, None), (4, "")]
+    state = corpus_pipeline.near_copies(spark, docs(spark, rows), str(tmp_path))
+    assert sorted((r["doc_id"], r["text"]) for r in state.collect() if r["doc_id"] and r["text"]) == [(1, base), (2, rows[2][1])]
+    assert state.count() == 5 and state.columns == docs(spark, []).columns
+    big = 2**53 + 1
+    state = corpus_pipeline.near_copies(spark, docs(spark, [(big, base), (big + 2, base + " more"), (None, "x")]), str(tmp_path))
+    assert sorted(str(r["doc_id"]) for r in state.collect()) == [str(big), "None"]
