@@ -287,3 +287,21 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, k: int, percen
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+#: All pairs that share a shingle: for small tables.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])
+                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+k AS (SELECT doc_id, len(s) AS n, sha256(array_to_string(list_sort(s), chr(10))) AS k, s FROM s),
+c AS (SELECT k, min(doc_id) AS id, any_value(n) AS n, any_value(s) AS s FROM k WHERE n > 0 GROUP BY k),
+t AS MATERIALIZED (SELECT id, n, md5_number(x) AS x FROM (SELECT id, n, unnest(s) AS x FROM c)),
+o AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.x = b.x AND a.id < b.id AND 100 * b.n >= 80 * a.n AND 100 * a.n >= 80 * b.n
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS MATERIALIZED (SELECT a, b FROM o UNION ALL SELECT b, a FROM o),
+r(id, reach) AS (SELECT id, id FROM c UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.reach),
+m AS (SELECT id, min(reach) AS component FROM r GROUP BY id)
+SELECT doc_id, k.n AS n_shingles, coalesce(m.component, doc_id) AS component_id FROM k LEFT JOIN c ON c.k = k.k AND k.n > 0 LEFT JOIN m ON m.id = c.id
+"""

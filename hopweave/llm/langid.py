@@ -186,3 +186,26 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_bucket(F.col("doc_id"), 4) == 2
     known = profiles(docs.where(~held_out))
     return identify(docs, known).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+#: Runs of letters as code points, 0 between them; CRC-32 bit by bit; ranks and distances as joins.
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, lang, text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 4 = 2 AS held_out
+  FROM documents),
+s AS (SELECT doc_id, lang, held_out, '_' || trim(regexp_replace(lower(text), '[^\p{L}]+', '_', 'g'), '_') || '_' AS s FROM d WHERE regexp_matches(text, '\p{L}')),
+c AS (SELECT doc_id, lang, held_out, i, CASE WHEN x = '_' THEN 0 ELSE ord(x)::BIGINT END AS a
+  FROM (SELECT doc_id, lang, held_out, unnest(string_split(s, '')) AS x, generate_subscripts(string_split(s, ''), 1) AS i FROM s)),
+w AS (SELECT *, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c, CASE WHEN a = 0 THEN 2097151 ELSE a END AS f FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, lang, held_out, a AS gram FROM w WHERE a > 0 UNION ALL SELECT doc_id, lang, held_out, f * 2097152 + b FROM w WHERE b IS NOT NULL
+  UNION ALL SELECT doc_id, lang, held_out, f * 4398046511104 + b * 2097152 + c FROM w WHERE b > 0 AND c IS NOT NULL),
+n AS MATERIALIZED (SELECT doc_id, lang, held_out, gram, count(*) AS n FROM g GROUP BY ALL),
+p AS MATERIALIZED (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r
+  FROM (SELECT lang, gram, sum(n) AS n FROM n WHERE lang IS NOT NULL AND NOT held_out GROUP BY ALL) QUALIFY r <= 400),
+t AS MATERIALIZED (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) AS r FROM n QUALIFY r <= 300),
+f AS (SELECT t.doc_id, l.lang, sum(coalesce(least(abs(p.r - t.r), 400), 400)) AS far, count(*) AS m
+  FROM t CROSS JOIN (SELECT DISTINCT lang FROM p) l LEFT JOIN p ON p.lang = l.lang AND p.gram = t.gram GROUP BY ALL),
+best AS (SELECT doc_id, lang, 1 - far / (400 * m) AS score FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY far, lang) = 1)
+SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(best.score, 0)::DOUBLE AS score FROM d LEFT JOIN best USING (doc_id)
+"""

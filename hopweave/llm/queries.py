@@ -17,4 +17,4 @@ QUERIES = {
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op9_warc": warc.ORACLE}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_jaccard_join": jaccard_join.ORACLE, "op8_language_id": langid.ORACLE, "op9_warc": warc.ORACLE}
