@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 
 from .common import id_bucket, map_texts, small_batches, table
 
-PROFILE, TEXT_TOP, FLUSH_GRAMS = 400, 300, 2_000_000
+PROFILE, TEXT_TOP, FLUSH_GRAMS = 400, 300, 1_000_000
 
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """Code of each character: its own number for a letter, 0 for anything else."""
-    return np.array([i if not 0xD800 <= i < 0xE000 and chr(i).isalpha() else 0 for i in range(0x110000)], dtype=np.uint64)
+    letters = (i if not 0xD800 <= i < 0xE000 and chr(i).isalpha() else 0 for i in range(0x110000))
+    return np.fromiter(letters, dtype=np.uint64, count=0x110000)  # no list of a million numbers in every worker
 
 
 def codes(text: str) -> np.ndarray:
