@@ -136,12 +136,12 @@ def best_cost(lengths, caps, bin_cost=32):
 def test_op4_packs_near_the_optimum():
     rnd, worst, sums = random.Random(1), 1.0, [0, 0]
     for _ in range(120):
-        lengths = sorted((rnd.randrange(1, 65) for _ in range(rnd.randrange(1, 8))), reverse=True)
+        lengths = sorted((rnd.randrange(1, 65) for _ in range(rnd.randrange(1, 9))), reverse=True)
         got = packing.pack(lengths, (16, 32, 64))
         cost, best = sum({b: c + 32 for b, _, c in got}.values()), best_cost(lengths, (16, 32, 64))
         assert cost >= best
         worst, sums = max(worst, cost / best), [sums[0] + cost, sums[1] + best]
-    assert worst <= 1.35 and sums[0] <= 1.03 * sums[1]
+    assert worst <= 1.5 and sums[0] <= 1.01 * sums[1]
     ties = packing.pack([8, 8, 8, 8], (16, 32), bin_cost=1)
     assert sorted((b, at) for b, at, _ in ties) in ([(0, 0), (0, 8), (0, 16), (0, 24)], [(0, 0), (0, 8), (1, 0), (1, 8)])
 
