@@ -29,7 +29,7 @@ from .common import table, written
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 
 
-def pack(lengths: list[int], capacities=CAPACITIES, power: float = 1.0, bin_cost: float = 32.0, worths=(0.0, 0.9, 0.97, 1.0)) -> list[tuple[int, int, int]]:
+def pack(lengths: list[int], capacities=CAPACITIES, power: float = 1.0, bin_cost: float = 32.0, worths=(0.0, 0.9, 0.97, 1.0, 2.0)) -> list[tuple[int, int, int]]:
     """(bin, start in the bin, capacity of the bin) of each length; lengths must fall or stay equal."""
     caps = sorted(capacities)
     price = {c: c**power + bin_cost for c in caps}
@@ -84,7 +84,7 @@ def word_length(text, extra: int = 1):
 
 def best_fit_packing(
     df: DataFrame, length, id_col: str = "doc_id", capacities=CAPACITIES, power: float = 1.0, bin_cost: float = 32.0,
-    worths=(0.0, 0.9, 0.97, 1.0), shard_pieces: int = 20_000,
+    worths=(0.0, 0.9, 0.97, 1.0, 2.0), shard_pieces: int = 20_000,
 ) -> DataFrame:
     """A row per piece: id, part, copy, piece_start, piece_length, shard, bin, bin_start, capacity.
 

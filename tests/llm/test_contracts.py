@@ -141,7 +141,7 @@ def test_op4_packs_near_the_optimum():
         cost, best = sum({b: c + 32 for b, _, c in got}.values()), best_cost(lengths, (16, 32, 64))
         assert cost >= best
         worst, sums = max(worst, cost / best), [sums[0] + cost, sums[1] + best]
-    assert worst <= 1.5 and sums[0] <= 1.01 * sums[1]
+    assert worst <= 1.5 and sums[0] <= 1.005 * sums[1]
     ties = packing.pack([8, 8, 8, 8], (16, 32), bin_cost=1)
     assert sorted((b, at) for b, at, _ in ties) in ([(0, 0), (0, 8), (0, 16), (0, 24)], [(0, 0), (0, 8), (1, 0), (1, 8)])
 
