@@ -28,7 +28,6 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from array import array
 from functools import lru_cache
 from hashlib import sha256
 from itertools import islice
@@ -159,6 +158,8 @@ class Model:
                         self.remove_extra = bool(v)
                     elif k == 5:
                         self.escape = bool(v)
+        if max(map(len, self.pieces), default=0) > 255:
+            raise ValueError("pieces of more than 255 characters are not supported")
         if model_type != 2 or self.suffix or not self.escape or USER in self.kinds or UNUSED in self.kinds:
             raise ValueError("only BPE models with leading space marks and without user-defined pieces are supported")
         self.charmap = CharMap(charmap)
@@ -190,7 +191,9 @@ class Model:
         line = "" if any("\n" in p for p in self.ids) else "\n"
         self.words = re.compile(r"(?s).+" if inner else f"{line or '(?!)'}|{MARK}*[^{MARK}{line}]+|{MARK}+")
         self.id_text = [str(i) for i in range(len(self.pieces))]
-        self.cache: dict[str, tuple[bytes, str, bytes, str]] = {}
+        self.shown = [p.replace(MARK, " ") for p in self.pieces]
+        self.n_chars = [len(p) for p in self.pieces]
+        self.cache: dict[str, tuple[str, str, bytes]] = {}
 
     # Normalisation -------------------------------------------------------------------------------
 
@@ -338,34 +341,40 @@ class Model:
         return out
 
     def blocks(self, norm: str, words: list[str] | None = None):
-        """What the cache has of a normalised text's words, a bounded number at a time."""
-        found = iter(words) if words is not None else (m.group() for m in self.words.finditer(norm))
+        """What the cache has of a normalised text's words, a bounded number at a time. words: they are in the cache already."""
+        if words is not None:
+            if words:
+                yield [self.cache[w] for w in words]
+            return
+        found = (m.group() for m in self.words.finditer(norm))
         while part := list(islice(found, BLOCK_WORDS)):
-            if any(w not in self.cache for w in part):
-                self.learn(set(part))
+            self.learn(set(part))
             yield [self.cache[w] for w in part]
 
     def encode_spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, first bytes and end bytes of all pieces, in bytes of the text as given."""
         norm, source = self.normalise(text)
         got = [w for block in self.blocks(norm) for w in block]
-        ids, covered = (np.frombuffer(b"".join([w[k] for w in got]), np.int32) for k in (0, 2))
-        ends = np.cumsum(covered)
+        ids = np.array([int(i) for w in got for i in w[0].split(",")], np.int32)
+        covered = np.frombuffer(b"".join([w[2] for w in got]), np.uint8)
+        ends = np.cumsum(covered, dtype=np.int64)
         return ids, source[ends - covered], source[ends]
 
     def learn(self, words: set[str]) -> None:
-        """Puts words into the cache: their ids, what they decode to with a space for each mark, and the number of
-        characters that each piece covers (int32)."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = [w for w in words if w not in self.cache]
+        """Puts words into the cache: their ids as text, what these decode to with a space for each mark, and the number of
+        characters that each piece covers (a byte each: the pieces are that short)."""
+        cache, id_text, shown, n_chars = self.cache, self.id_text, self.shown, self.n_chars
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+        new = [w for w in words if w not in cache]
+        other = self.size - 1
         for w, symbols in zip(new, self.merge_words(new), strict=True):
-            if self.size - 1 not in symbols:
-                ids, covered = symbols, [len(self.pieces[i]) for i in symbols]
+            if other not in symbols:
+                cache[w] = (",".join([id_text[i] for i in symbols]), "".join([shown[i] for i in symbols]), bytes([n_chars[i] for i in symbols]))
             else:
                 got = self._with_bytes(w, symbols)
-                ids, covered = [i for i, _ in got], [n for _, n in got]
-            self.cache[w] = (array("i", ids).tobytes(), self.decode_run(ids), array("i", covered).tobytes(), ",".join([self.id_text[i] for i in ids]))
+                ids = [i for i, _ in got]
+                cache[w] = (",".join([id_text[i] for i in ids]), self.decode_run(ids), bytes([n for _, n in got]))
 
     # Decoding ------------------------------------------------------------------------------------
 
@@ -447,11 +456,11 @@ def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
         n = at = last = spans = 0
         ids, back = sha256(), sha256()
         for block in model.blocks(norm, words):
-            ends = at + np.cumsum(np.frombuffer(b"".join([w[2] for w in block]), np.int32))
+            ends = at + np.cumsum(np.frombuffer(b"".join([w[2] for w in block]), np.uint8), dtype=np.int64)
             covered = source[ends]
             spans, at, last = crc32(covered.tobytes(), spans), int(ends[-1]), int(covered[-1])
             whole = "".join([w[1] for w in block])
-            ids.update(("," if n else "").encode() + ",".join([w[3] for w in block]).encode())
+            ids.update(("," if n else "").encode() + ",".join([w[0] for w in block]).encode())
             # The dummy mark's space is dropped.
             back.update((whole[1:] if not n and norm.startswith(MARK) else whole).encode())
             n += len(ends)
