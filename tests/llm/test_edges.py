@@ -230,7 +230,7 @@ def test_gif_that_claims_too_much(spark):
 
 
 def test_urls_cannot_write_header_lines(spark, tmp_path):
-    breaks = [" ", " ", "\x85", "\r\n", "\n", "\r", "\x0b", "\x0c", "\x1c", "\0"]
+    breaks = ["\u2028", "\u2029", "\x85", "\r\n", "\n", "\r", "\x0b", "\x0c", "\x1c", "\0"]
     rows = [(i, f"http://h/{b}WARC-Payload-Digest: sha256:dead{b}WARC-Refers-To: <urn:record:77>{b}WARC-Type: revisit", "p" * (i + 1)) for i, b in enumerate(breaks)]
     warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{tmp_path}/w")
     got = {r["record_id"]: r for r in warc.read_records(spark, f"{tmp_path}/w").collect()}
