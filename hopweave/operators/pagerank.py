@@ -1,8 +1,10 @@
 """Residual-push PageRank, unnormalised: every vertex starts at 1 - alpha; what a vertex without out-edges
 holds is passed to none.
 
-A round is one join and one aggregate. Edges weigh alpha / out-degree of their source; every vertex has an
-edge to itself of weight 0 that carries its rank and what it holds back to the next round.
+Rounds run on blocks of vertices (plans/blocks.py), each block's ranks and edges as arrays; what a source passes on is sent
+once to each block it has edges to. Graphs that have no such form take the joining path: a round is one join and one aggregate.
+There edges weigh alpha / out-degree of their source; every vertex has an edge to itself of weight 0 that carries its rank and
+what it holds back to the next round.
 """
 
 from __future__ import annotations
@@ -11,12 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..plans import blocks
 from ..plans.dealing import Dealt, deal
-from ..plans.fixpoint import Outcome, iterate
+from ..plans.fixpoint import Outcome, cut, iterate
 
 #: Damping and the residual below which nothing is passed on. Fixed values.
 ALPHA, EPSILON = 0.85, 1e-6
 MODES = ("topology", "data_driven", "residual")
+#: Bytes that the rounds of one job may write anyway; beyond, no more than the edges' own 16 bytes each.
+SMALL_JOB = 64_000_000
+#: From so many edges on the joining path runs one round a job.
+MANY_EDGES = 2_000_000
 
 
 def initial(graph: Graph, alpha: float = ALPHA) -> DataFrame:
@@ -56,13 +63,26 @@ def push(state: DataFrame, moves: Dealt, mode: str = "topology", epsilon: float
 def pagerank(graph: Graph, mode: str = "topology", max_rounds: int | None = None, alpha: float = ALPHA, epsilon: float = EPSILON, rounds_per_job: int = 8) -> Outcome:
     """state has node, p. topology: every vertex passes on each round, ends once no residual is above
     epsilon, the last included. data_driven: vertices of at least epsilon, residual: above epsilon; ends once
-    none is left, what is held stays out of the ranks."""
+    none is left, what is held stays out of the ranks. rounds_per_job: at most; fewer where a round ships much."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
+    done = (lambda m: m is None or m <= epsilon) if mode == "topology" else (lambda m: not m)
+    laid = blocks.lay_out(graph, alpha)
+    if laid is None:
+        return _joining(graph, mode, max_rounds, alpha, epsilon, rounds_per_job, done)
+    shipped = 8 * max(1, laid.sent)
+    per_job = max(1, min(rounds_per_job, max(SMALL_JOB, 16 * laid.edges) // shipped))
+    out = iterate(blocks.start(laid, 1 - alpha), lambda s, _: blocks.push(s, laid, mode, epsilon), F.max("measure"), done, max_rounds, per_job, per_job * shipped > SMALL_JOB // 4)
+    state = out.state if out.rounds else cut(out.state)
+    laid.release()
+    return Outcome(blocks.ranks(state), out.rounds, out.converged)
+
+
+def _joining(graph: Graph, mode: str, max_rounds: int | None, alpha: float, epsilon: float, rounds_per_job: int, done) -> Outcome:
     moves = weighted(graph, alpha)
     measure = F.max("total") if mode == "topology" else F.max("passed")
-    done = (lambda m: m is None or m <= epsilon) if mode == "topology" else (lambda m: not m)
-    out = iterate(start(graph, alpha), lambda s, _: push(s, moves, mode, epsilon), measure, done, max_rounds, rounds_per_job)
+    many = moves.size > MANY_EDGES
+    out = iterate(start(graph, alpha), lambda s, _: push(s, moves, mode, epsilon), measure, done, max_rounds, 1 if many else rounds_per_job, many)
     moves.release()
     return Outcome(out.state.select(F.col("id").alias("node"), "p"), out.rounds, out.converged)
 

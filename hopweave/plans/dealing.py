@@ -23,6 +23,7 @@ class Dealt:
     edges: DataFrame
     hubs: DataFrame | None
     degrees: DataFrame | None = None
+    size: int = 0
 
     def out_edges(self, state: DataFrame, small: bool = False) -> DataFrame:
         """state (id, ...) with every out-edge of its ids. small: state is counted and can be broadcast."""
@@ -69,7 +70,7 @@ def deal(edges: DataFrame, own: DataFrame | None = None, hub_edges: int | None =
     if weigh:
         degrees = counted if hubs is None else _in_parts(counted, "src", hubs, "_part")
         rows = weigh(rows.join(degrees.hint("merge"), keys, "left")).drop("own", "degree")
-    out = Dealt(rows.persist(), hubs, counted)
+    out = Dealt(rows.persist(), hubs, counted, all_)
     if not weigh:
         counted.unpersist()
     return out

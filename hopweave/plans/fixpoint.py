@@ -7,6 +7,7 @@ met the end, the block is run again up to that round, from the last cut.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -45,11 +46,18 @@ def counted_cut(df: DataFrame) -> tuple[DataFrame, int]:
     return out, seen.get["n"]
 
 
+def tidy_up(spark: SparkSession) -> None:
+    """Spark gives back the shuffles and cuts that no plan holds any more; without this, only once the driver's heap happens to be collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def iterate(
     state: DataFrame, step: Callable[[DataFrame, int], DataFrame], measure: Column, done: Callable[[object], bool],
-    max_rounds: int | None = None, rounds_per_job: int = 8,
+    max_rounds: int | None = None, rounds_per_job: int = 8, tidy: bool = False,
 ) -> Outcome:
-    """step(state, number of the round, from 1); done(value of the measure after a round) ends it."""
+    """step(state, number of the round, from 1); done(value of the measure after a round) ends it. tidy: with tidy_up()
+    after each job."""
     rounds = 0
     while max_rounds is None or rounds < max_rounds:
         block = rounds_per_job if max_rounds is None else min(rounds_per_job, max_rounds - rounds)
@@ -62,6 +70,9 @@ def iterate(
         ends = [k for k, o in enumerate(seen) if done(o.get["measure"])]
         if not ends:
             state, rounds = after, rounds + block
+            if tidy:
+                del after
+                tidy_up(state.sparkSession)
             continue
         last = ends[0] + 1
         if last < block:

@@ -1,5 +1,6 @@
 import random
 import struct
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from hopweave import cli
 from hopweave.graph import Graph, node_data
 from hopweave.operators import bfs, pagerank
 from hopweave.operators import frontier as fr
-from hopweave.plans import dealing
+from hopweave.plans import blocks, dealing
 from hopweave.sources.edge_list import read_edge_list, write_edge_list
 from hopweave.sources.gr import file_bytes, invalid_edges, read_gr, read_header, write_gr
 from hopweave.sources.reports import throughput_line
@@ -225,3 +226,40 @@ def test_edge_list_and_command_line(spark, tmp_path, capsys):
     assert throughput_line(5_000_000, 2_000_000_000) == "read 5000000 bytes in 2000 ms (2.50 MB/s)"
     cli.main(["pagerank_data_driven", text, "-q", "-o", "-"], spark)
     assert "0 0." not in capsys.readouterr().out
+
+
+def _shuffled(spark):
+    """Bytes of shuffle files that Spark holds."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(f.stat().st_size for d in dirs for f in Path(d.getPath()).rglob("shuffle_*.data") if f.exists())
+
+
+@pytest.mark.parametrize("mode", ["topology", "data_driven"])
+def test_rounds_hold_no_more_disk_than_the_edges(spark, monkeypatch, mode):
+    monkeypatch.setattr(blocks, "BLOCK_EDGES", 50_000)
+    monkeypatch.setattr(pagerank, "SMALL_JOB", 1)
+    n, m = 20_000, 200_000
+    edges = spark.range(m).select((F.col("id") % n).alias("src"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("dst"))
+    before = _shuffled(spark)
+    out = pagerank.pagerank(Graph(spark.range(n), edges), mode, max_rounds=8)
+    assert out.state.count() == n and _shuffled(spark) - before < 40 * m  # a round of the joining path alone writes about 24 bytes an edge
+
+
+def test_blocks_and_what_has_none(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_EDGES", 40)
+    rnd = random.Random(4)
+    n = 60
+    edges = [(rnd.randrange(40), rnd.randrange(50)) for _ in range(150)] + [(5, 5), (5, 6), (5, 6)]
+    want = _plain_ranks(n, edges, 4)
+    g = graph(spark, edges, n)
+    assert blocks.lay_out(g, 0.85).count == 4
+    assert ranks(pagerank.pagerank(g, max_rounds=4)) == pytest.approx(want)
+    far = lambda c: (F.col(c) * 10**15 - 7).alias(c)  # noqa: E731  ids far apart, negative ones too
+    spread = Graph(g.vertices.select(far("id")), g.edges.select(far("src"), far("dst")).unionByName(spark.createDataFrame([(3, -7), (None, -7)], "src long, dst long")))
+    assert blocks.lay_out(spread, 0.85) is not None  # edges from no vertex pass on nothing
+    assert ranks(pagerank.pagerank(spread, max_rounds=4)) == pytest.approx(want)
+    assert blocks.lay_out(graph(spark, [*edges, (1, n)], n), 0.85) is None
+    assert blocks.lay_out(Graph(g.vertices.union(g.vertices), g.edges), 0.85) is None
+    monkeypatch.setattr(blocks, "MOST_EDGES", 20)
+    assert blocks.lay_out(g, 0.85) is None
+    assert ranks(pagerank.pagerank(g, max_rounds=4)) == pytest.approx(want)
