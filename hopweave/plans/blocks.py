@@ -3,7 +3,8 @@
 A block holds its vertices' ids, the weights of their out-edges, the edges that end in it (as positions, copies merged and
 counted), and for every other block the vertices it has edges to. In a round it sends each block one array: of
 every vertex with an edge there, once, what it passes on; so a round ships 8 bytes for each pair of a source and a
-block, and the edges stay where they are. Ids may be any longs. ``lay_out`` gives None where this form does not
+block, and the edges stay where they are. Longs are stored in as few bytes as hold them. What a job leaves is each block's own row,
+without what it sends: the next job sends it first. Ids may be any longs. ``lay_out`` gives None where this form does not
 hold: ids that are null or repeated, edges to no vertex, no vertices, or a block (of a hub) of more than ``MOST_EDGES``.
 """
 
@@ -19,14 +20,16 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from .fixpoint import cut, tidy_up
+from .fixpoint import drop_cut, settled
 
 #: Edges a block is meant for, the most blocks, the most edges of a block, and of a packed row.
 BLOCK_EDGES, MAX_BLOCKS, MOST_EDGES, CHUNK = 1_000_000, 4096, 16_000_000, 500_000
 
+WIDTHS = (np.uint8, np.uint16, np.uint32, np.uint64)
+
 PACKED = "src binary, dst binary, n binary, edges long, bad boolean"
 SPLIT = "b long, kind int, src binary, dst binary, n binary"
-LAYOUT = "b long, ids binary, w binary, k binary, dst binary, n binary, others binary, lengths binary, pos binary, edges long, sent long, bad boolean"
+LAYOUT = "b long, ids binary, w binary, runs binary, dst binary, n binary, others binary, lengths binary, pos binary, edges long, sent long, bad boolean"
 STATE = "b long, other long, data binary, ids binary, p binary, held binary, measure double"
 
 
@@ -37,8 +40,12 @@ class Blocks:
     edges: int
     sent: int  # values a round sends
 
+    laid: DataFrame  # the cut that rows are read from
+
     def release(self) -> None:
+        """What was computed from the blocks must have been cut before."""
         self.rows.unpersist()
+        drop_cut(self.laid)
 
 
 def _block(ids: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -47,8 +54,31 @@ def _block(ids: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(len(labels))).astype(np.int64)
 
 
-def _read(cell, kind) -> np.ndarray:
-    return np.frombuffer(cell.as_buffer(), kind)
+def _stored(a: np.ndarray) -> bytes:
+    """Doubles as they are; longs as distances from the smallest, or ascending ones from the one before, in as few bytes as hold them,
+    after a head of 16 bytes."""
+    if a.dtype == np.float64 or not len(a):
+        return a.tobytes()
+    a = a.astype(np.int64, copy=False)
+    ascending = bool((a[1:] >= a[:-1]).all())
+    base = a[0] if ascending else a.min()
+    far = (np.diff(a, prepend=base) if ascending else a - base).view(np.uint64)
+    kind = next(i for i, k in enumerate(WIDTHS) if int(far.max()) <= np.iinfo(k).max)
+    return np.array([base, kind + 4 * ascending], np.int64).tobytes() + far.astype(WIDTHS[kind]).tobytes()
+
+
+def _doubles(cell) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), np.float64)
+
+
+def _ints(cell) -> np.ndarray:
+    """The longs of _stored()."""
+    buffer = cell.as_buffer()
+    if not len(buffer):
+        return np.zeros(0, np.int64)
+    base, how = np.frombuffer(buffer, np.int64, 2)
+    far = np.frombuffer(buffer, WIDTHS[how % 4], offset=16)
+    return base + (np.cumsum(far, dtype=np.uint64) if how >= 4 else far.astype(np.uint64)).view(np.int64)
 
 
 def _counts(n: np.ndarray) -> np.ndarray:
@@ -57,7 +87,7 @@ def _counts(n: np.ndarray) -> np.ndarray:
 
 
 def _numbers(cell, size: int) -> np.ndarray:
-    return _read(cell, np.int64) if len(cell.as_buffer()) else np.ones(size, np.int64)
+    return _ints(cell) if len(cell.as_buffer()) else np.ones(size, np.int64)
 
 
 def _longs(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -80,7 +110,7 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     fields = [f.split() for f in schema.split(", ")]
     cells = list(zip(*rows)) or [()] * len(fields)
     return pa.RecordBatch.from_arrays(
-        [pa.array([x.tobytes() if isinstance(x, np.ndarray) else x for x in c], kinds[k]) for c, (_, k) in zip(cells, fields)], names=[n for n, _ in fields])
+        [pa.array([_stored(x) if isinstance(x, np.ndarray) else x for x in c], kinds[k]) for c, (_, k) in zip(cells, fields)], names=[n for n, _ in fields])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,8 +139,8 @@ def _sizes(labels: np.ndarray):
         ends, starts = np.zeros(len(labels), np.int64), np.zeros(len(labels), np.int64)
         for batch in batches:
             for src, dst in zip(batch["src"], batch["dst"]):
-                ends += np.bincount(_block(_read(dst, np.int64), labels), minlength=len(labels))
-                starts += np.bincount(_block(np.unique(_read(src, np.int64)), labels), minlength=len(labels))
+                ends += np.bincount(_block(_ints(dst), labels), minlength=len(labels))
+                starts += np.bincount(_block(np.unique(_ints(src)), labels), minlength=len(labels))
         at = np.flatnonzero(ends + starts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ends[at]), pa.array(starts[at])], names=["at", "ends", "starts"])
     return run
@@ -127,7 +157,7 @@ def _split(labels: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for src, dst, n in zip(batch["src"], batch["dst"], batch["n"]):
-                src, dst = _read(src, np.int64), _read(dst, np.int64)
+                src, dst = _ints(src), _ints(dst)
                 n = _numbers(n, len(src))
                 end = _block(dst, labels)
                 yield _batch(SPLIT, list(by(end, 0, src, dst, n)))
@@ -160,18 +190,19 @@ def _build(alpha: float, labels: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         def all_of(kind):
             got = table.filter(pa.compute.equal(table["kind"], kind))
-            cells = [(_read(a, np.int64), _read(b, np.int64), n) for a, b, n in zip(got["src"], got["dst"], got["n"])]
+            cells = [(_ints(a), _ints(b), n) for a, b, n in zip(got["src"], got["dst"], got["n"])]
             return [np.concatenate(x or [np.zeros(0, np.int64)]) for x in ([a for a, _, _ in cells], [b for _, b, _ in cells], [_numbers(n, len(a)) for a, _, n in cells])]
 
         own = table.filter(pa.compute.equal(table["kind"], 2))["src"]
-        ids = np.sort(np.concatenate([_read(x, np.int64) for x in own.drop_null()] or [np.zeros(0, np.int64)]))
+        ids = np.sort(np.concatenate([_ints(x) for x in own.drop_null()] or [np.zeros(0, np.int64)]))
         bad = own.null_count > 0 or bool((ids[1:] == ids[:-1]).any())
         src, dst, n = all_of(0)
         begin, src, dst, n = _merged(labels[_block(src, labels)], src, dst, n=n)
         # what arrives is ordered by block and source, as the sender's positions are
-        k = (np.cumsum(np.append(True, (begin[1:] != begin[:-1]) | (src[1:] != src[:-1]))[: len(src)]) - 1).astype(np.int32)
+        new = np.flatnonzero(np.append(True, (begin[1:] != begin[:-1]) | (src[1:] != src[:-1]))[: len(src)])
+        runs = np.diff(new, append=len(src))
         end = _at(ids, dst)
-        n = _counts(n).astype(np.float64)
+        n = _counts(n)
         edges, bad = len(src), bad or bool((end < 0).any())
         src, to, out = all_of(1)
         to, src, out = _merged(to, src, n=out)
@@ -179,7 +210,7 @@ def _build(alpha: float, labels: np.ndarray):
         degree = np.bincount(pos[pos >= 0], out[pos >= 0], len(ids))
         w = np.divide(alpha, degree, out=np.zeros(len(ids)), where=degree > 0)
         others, lengths = np.unique(to, return_counts=True)
-        row = (table["b"][0].as_py(), ids, w, k, end, n, others, lengths.astype(np.int64), pos, edges, len(pos), bad)
+        row = (table["b"][0].as_py(), ids, w, runs, end, n, others, lengths, pos, edges, len(pos), bad)
         return pa.Table.from_batches([_batch(LAYOUT, [row])])
     return run
 
@@ -187,14 +218,15 @@ def _build(alpha: float, labels: np.ndarray):
 def lay_out(graph: Graph, alpha: float, block_edges: int | None = None) -> Blocks | None:
     seen = Observation()
     packed = graph.edges.select("src", "dst").mapInArrow(_pack, PACKED)
-    packed = cut(packed.observe(seen, F.coalesce(F.sum("edges"), F.lit(0)).alias("edges"), F.coalesce(F.bool_or("bad"), F.lit(False)).alias("bad")))
-    edges, bad = seen.get["edges"], seen.get["bad"]
-    if bad:
-        return None
-    large = edges > 2 * BLOCK_EDGES
-    if large:
-        tidy_up(graph.spark)
-    count = max(1, min(MAX_BLOCKS, -(-edges // (block_edges or BLOCK_EDGES))))
+    packed = settled(packed.observe(seen, F.coalesce(F.sum("edges"), F.lit(0)).alias("edges"), F.coalesce(F.bool_or("bad"), F.lit(False)).alias("bad")))
+    try:
+        return None if seen.get["bad"] else _lay_out(graph, packed, seen.get["edges"], alpha, block_edges or BLOCK_EDGES)
+    finally:
+        drop_cut(packed)
+
+
+def _lay_out(graph: Graph, packed: DataFrame, edges: int, alpha: float, block_edges: int) -> Blocks | None:
+    count = max(1, min(MAX_BLOCKS, -(-edges // block_edges)))
     # names of blocks of which each goes to a partition of its own
     at = F.pmod(F.hash("id"), F.lit(count))
     names = [r[1] for r in graph.spark.range(40 * count + 100, numPartitions=1).groupBy(at.alias("at")).agg(F.min("id")).collect()]
@@ -203,52 +235,67 @@ def lay_out(graph: Graph, alpha: float, block_edges: int | None = None) -> Block
     if (sizes.agg(F.max(F.greatest("e", "s"))).first()[0] or 0) > MOST_EDGES:
         return None
     rows = packed.mapInArrow(_split(labels), SPLIT).unionByName(graph.vertices.select(F.col("id").cast("long")).mapInArrow(_vertices(labels), SPLIT))
-    rows = cut(rows.repartition(count, "b").groupBy("b").applyInArrow(_build(alpha, labels), LAYOUT)).repartition(count, "b").persist()
-    del packed
+    laid = settled(rows.repartition(count, "b").groupBy("b").applyInArrow(_build(alpha, labels), LAYOUT))
+    rows = laid.repartition(count, "b").persist()
     held, sent, bad = rows.agg(F.sum("edges"), F.sum("sent"), F.bool_or("bad")).first()
+    out = Blocks(rows, count, held, sent, laid)
     if bad or held is None:
-        rows.unpersist()
+        out.release()
         return None
-    if large:
-        tidy_up(graph.spark)
-    return Blocks(rows, count, held, sent)
+    return out
 
 
-def _send(b: int, ids, p, held, passed, measure, layout: dict) -> pa.Table:
-    v = np.append(passed * _read(layout["w"], np.float64), 0.0)
-    pos, rows, at = _read(layout["pos"], np.int32), [(b, -1, None, ids, p, held, measure)], 0
-    for j, n in zip(_read(layout["others"], np.int64).tolist(), _read(layout["lengths"], np.int64).tolist()):
+def _sent(b: int, passed: np.ndarray, layout: dict) -> list[tuple]:
+    v = np.append(passed * _doubles(layout["w"]), 0.0)
+    pos, rows, at = _ints(layout["pos"]), [], 0
+    for j, n in zip(_ints(layout["others"]).tolist(), _ints(layout["lengths"]).tolist()):
         rows.append((j, b, v[pos[at : at + n]], None, None, None, None))
         at += n
-    return pa.Table.from_batches([_batch(STATE, rows)])
+    return rows
+
+
+def _cells(table: pa.Table) -> dict:
+    return {n: table[n][0] for n in table.column_names}
 
 
 def start(blocks: Blocks, value: float) -> DataFrame:
-    """STATE: a row for each block (other = -1) with ids, ranks and what is held back, and what each sends to each."""
+    """STATE: a row for each block (other = -1) with ids, ranks, what is held back and, as data, what is to be passed on."""
     def run(table: pa.Table) -> pa.Table:
-        layout = {n: table[n][0] for n in table.column_names}
-        ids = _read(layout["ids"], np.int64)
-        at = np.full(len(ids), value)
-        return _send(layout["b"].as_py(), ids, at, np.zeros(len(ids)), at, None, layout)
-    return blocks.rows.groupBy("b").applyInArrow(run, STATE)
+        layout = _cells(table)
+        at = np.full(len(_ints(layout["ids"])), value)
+        return pa.Table.from_batches([_batch(STATE, [(layout["b"].as_py(), -1, at, layout["ids"].as_py(), at, np.zeros(len(at)), None)])])
+    return blocks.rows.select("b", "ids").groupBy("b").applyInArrow(run, STATE)
+
+
+def send(state: DataFrame, blocks: Blocks) -> DataFrame:
+    """state with what each block sends to each."""
+    def run(got: pa.Table, table: pa.Table) -> pa.Table:
+        own, layout = _cells(got), _cells(table)
+        b = own["b"].as_py()
+        row = (b, -1, None, *[own[n].as_py() for n in ("ids", "p", "held", "measure")])
+        return pa.Table.from_batches([_batch(STATE, [row, *_sent(b, _doubles(own["data"]), layout)])])
+    layouts = blocks.rows.select("b", "w", "others", "lengths", "pos")
+    return state.repartition(blocks.count, "b").groupBy("b").cogroup(layouts.groupBy("b")).applyInArrow(run, STATE)
 
 
-def push(state: DataFrame, blocks: Blocks, mode: str, epsilon: float) -> DataFrame:
-    """The next round; measure: of a block the highest total (topology) or passed value."""
+def push(state: DataFrame, blocks: Blocks, mode: str, epsilon: float, last: bool = False) -> DataFrame:
+    """The next round of what send() gives, sent again unless last; measure: of a block the highest total (topology) or passed value."""
     def run(got: pa.Table, table: pa.Table) -> pa.Table:
-        layout = {n: table[n][0] for n in table.column_names}
-        others = got["other"].to_numpy()
-        order = np.argsort(others)
-        own, sent = int(order[0]), [_read(got["data"][int(i)], np.float64) for i in order[1:]]
-        ids, p, held = _read(got["ids"][own], np.int64), _read(got["p"][own], np.float64), _read(got["held"][own], np.float64)
-        value = np.concatenate(sent or [np.zeros(0)])[_read(layout["k"], np.int32)]
-        n = _read(layout["n"], np.float64)
-        total = np.bincount(_read(layout["dst"], np.int32), value * n if len(n) else value, len(ids)) + held
+        layout = _cells(table)
+        order = np.argsort(got["other"].to_numpy())
+        own, sent = int(order[0]), [_doubles(got["data"][int(i)]) for i in order[1:]]
+        p, held = _doubles(got["p"][own]), _doubles(got["held"][own])
+        value = np.repeat(np.concatenate(sent or [np.zeros(0)]), _ints(layout["runs"]))
+        n = _ints(layout["n"])
+        total = np.bincount(_ints(layout["dst"]), value * n if len(n) else value, len(p)) + held
         active = {"topology": np.True_, "data_driven": total >= epsilon, "residual": total > epsilon}[mode]
         passed, held = np.where(active, total, 0.0), np.where(active, 0.0, total)
-        measure = (total if mode == "topology" else passed).max(initial=0.0)
-        return _send(layout["b"].as_py(), ids, p + passed, held, passed, float(measure), layout)
-    return state.repartition(blocks.count, "b").groupBy("b").cogroup(blocks.rows.groupBy("b")).applyInArrow(run, STATE)
+        measure = float((total if mode == "topology" else passed).max(initial=0.0))
+        b = layout["b"].as_py()
+        row = (b, -1, passed if last else None, got["ids"][own].as_py(), p + passed, held, measure)
+        return pa.Table.from_batches([_batch(STATE, [row, *([] if last else _sent(b, passed, layout))])])
+    layouts = blocks.rows.select("b", "runs", "dst", "n", *([] if last else ["w", "others", "lengths", "pos"]))
+    return state.repartition(blocks.count, "b").groupBy("b").cogroup(layouts.groupBy("b")).applyInArrow(run, STATE)
 
 
 def ranks(state: DataFrame) -> DataFrame:
@@ -256,7 +303,7 @@ def ranks(state: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, p in zip(batch["ids"], batch["p"]):
-                ids, p = _read(ids, np.int64), _read(p, np.float64)
+                ids, p = _ints(ids), _doubles(p)
                 for k in range(0, len(ids), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 100_000]), pa.array(p[k : k + 100_000])], names=["node", "p"])
     return state.where("other = -1").select("ids", "p").mapInArrow(run, "node long, p double")

@@ -52,33 +52,59 @@ def tidy_up(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """cut(), and at once gives back the shuffles that df's own plan wrote. df itself is not to be read again; what is kept in memory below it stays."""
+    out = cut(df)
+    plan, cleaner = df._jdf.queryExecution().executedPlan(), df.sparkSession.sparkContext._jsc.sc().cleaner()
+    if plan.getClass().getSimpleName() != "AdaptiveSparkPlanExec" or cleaner.isEmpty():
+        tidy_up(df.sparkSession)
+        return out
+    ids = plan.context().shuffleIds().keySet().iterator()
+    while ids.hasNext():
+        cleaner.get().doCleanupShuffle(ids.next(), True)
+    return out
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Deletes the files of a cut that nothing reads any more; leaves a df that is no cut."""
+    plan = df._jdf.queryExecution().analyzed()
+    file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+    if file is not None and file.isDefined():
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def iterate(
     state: DataFrame, step: Callable[[DataFrame, int], DataFrame], measure: Column, done: Callable[[object], bool],
     max_rounds: int | None = None, rounds_per_job: int = 8, tidy: bool = False,
+    first: Callable[[DataFrame], DataFrame] | None = None, last: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> Outcome:
-    """step(state, number of the round, from 1); done(value of the measure after a round) ends it. tidy: with tidy_up()
-    after each job."""
+    """step(state, number of the round, from 1); done(value of the measure after a round) ends it. tidy: each job gives back its shuffles
+    and the cut that it began from. first: of the state of each job before its rounds; last: in place of step in a job's last round."""
+    save = settled if tidy else cut
     rounds = 0
+
+    def job(n: int, seen: list[Observation] | None = None) -> DataFrame:
+        after = first(state) if first else state
+        for k in range(n):
+            after = (last if last and k == n - 1 else step)(after, rounds + k + 1)
+            if seen is not None:
+                after = after.observe(seen[k], measure.alias("measure"))
+        return save(after)
+
     while max_rounds is None or rounds < max_rounds:
         block = rounds_per_job if max_rounds is None else min(rounds_per_job, max_rounds - rounds)
-        seen = []
-        after = state
-        for k in range(block):
-            seen.append(Observation())
-            after = step(after, rounds + k + 1).observe(seen[-1], measure.alias("measure"))
-        after = cut(after)
+        seen = [Observation() for _ in range(block)]
+        after = job(block, seen)
         ends = [k for k, o in enumerate(seen) if done(o.get["measure"])]
-        if not ends:
-            state, rounds = after, rounds + block
+        ran = ends[0] + 1 if ends else block
+        if ran < block:
             if tidy:
-                del after
-                tidy_up(state.sparkSession)
-            continue
-        last = ends[0] + 1
-        if last < block:
-            after = state
-            for k in range(last):
-                after = step(after, rounds + k + 1)
-            after = cut(after)
-        return Outcome(after, rounds + last, True)
+                drop_cut(after)
+            after = job(ran)
+        if tidy:
+            drop_cut(state)
+        state, rounds = after, rounds + ran
+        if ends:
+            return Outcome(state, rounds, True)
     return Outcome(state, rounds, False)

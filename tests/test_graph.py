@@ -2,6 +2,8 @@ import random
 import struct
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from hopweave.graph import Graph, node_data
 from hopweave.operators import bfs, pagerank
 from hopweave.operators import frontier as fr
 from hopweave.plans import blocks, dealing
+from hopweave.plans.fixpoint import cut, tidy_up
+from hopweave.sources import tables
 from hopweave.sources.edge_list import read_edge_list, write_edge_list
 from hopweave.sources.gr import file_bytes, invalid_edges, read_gr, read_header, write_gr
 from hopweave.sources.reports import throughput_line
@@ -245,6 +249,43 @@ def test_rounds_hold_no_more_disk_than_the_edges(spark, monkeypatch, mode):
     assert out.state.count() == n and _shuffled(spark) - before < 40 * m  # a round of the joining path alone writes about 24 bytes an edge
 
 
+def _cut_bytes(spark):
+    top = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    return sum(f.stat().st_size for f in top.rglob("part-*") if f.exists())
+
+
+@pytest.mark.parametrize("mode", ["topology", "data_driven"])
+def test_what_a_job_wrote_is_gone_when_the_next_begins(spark, monkeypatch, mode):
+    monkeypatch.setattr(blocks, "BLOCK_EDGES", 50_000)
+    monkeypatch.setattr(pagerank, "SMALL_JOB", 1)
+    n, m, held, push = 20_000, 200_000, [], blocks.push
+    edges = spark.range(m).select((F.col("id") % n).alias("src"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("dst"))
+    cut(spark.range(1))  # names the folder
+    tidy_up(spark)
+    before = _shuffled(spark) + _cut_bytes(spark)
+    monkeypatch.setattr(blocks, "push", lambda *a, **b: held.append(_shuffled(spark) + _cut_bytes(spark) - before) or push(*a, **b))
+    out = pagerank.pagerank(Graph(spark.range(n), edges), mode, max_rounds=12)
+    assert out.rounds == 12 and max(held) < 15 * m, (max(held) / m, held)  # the edges' own are 16 bytes each
+    assert _shuffled(spark) + _cut_bytes(spark) - before < 4 * m + 30 * n  # the blocks' own shuffle, ranks
+
+
+def test_longs_in_few_bytes():
+    top = 2**63 - 1
+    for a in [], [7], [-3] * 5, [5, 1, 3], [10**15, 10**15 + 200], [-top - 1, top], [top, -top - 1, 0], [*range(300), 10**9], [0, 2**32, 2**31, -1]:
+        stored = blocks._stored(np.array(a, np.int64))
+        assert blocks._ints(pa.scalar(stored)).tolist() == a
+    assert len(blocks._stored(np.arange(10**15, 10**15 + 1000))) == 1016  # a byte each
+
+
+def test_ties_of_lines_give_the_same_edges(spark, tmp_path):
+    """Lines alike in order, number and part, in any order of the rest."""
+    spark.range(3).select(F.col("id").alias("p_partkey")).write.parquet(str(tmp_path / "part.parquet"))
+    lines = [(1, 1, 0), (1, 1, 0), (1, 2, 2), (1, 1, 1), (2, 5, 1), (2, 5, 1), (3, 1, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = tables.successions(spark, str(tmp_path)).edges.collect()  # reads no further column
+    assert sorted(map(tuple, got)) == [(0, 0), (0, 1), (1, 1), (1, 2)]
+
+
 def test_blocks_and_what_has_none(spark, monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_EDGES", 40)
     rnd = random.Random(4)
