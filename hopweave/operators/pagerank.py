@@ -73,7 +73,7 @@ def pagerank(graph: Graph, mode: str = "topology", max_rounds: int | None = None
     shipped = 8 * max(1, laid.sent)
     per_job = max(1, min(rounds_per_job, max(SMALL_JOB, 16 * laid.edges) // shipped))
     out = iterate(
-        blocks.start(laid, 1 - alpha), lambda s, _: blocks.push(s, laid, mode, epsilon), F.max("measure"), done, max_rounds, per_job, per_job * shipped > SMALL_JOB // 4,
+        blocks.start(laid, 1 - alpha), lambda s, _: blocks.push(s, laid, mode, epsilon), F.max("measure"), done, max_rounds, per_job, True,
         lambda s: blocks.send(s, laid), lambda s, _: blocks.push(s, laid, mode, epsilon, last=True))
     state = out.state if out.rounds else cut(out.state)
     laid.release()

@@ -10,6 +10,8 @@ hold: ids that are null or repeated, edges to no vertex, no vertices, or a block
 
 from __future__ import annotations
 
+import functools
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -258,6 +260,12 @@ def _cells(table: pa.Table) -> dict:
     return {n: table[n][0] for n in table.column_names}
 
 
+@functools.cache
+def _keep_loaded() -> None:
+    """Once a worker: what it has loaded is left out of the garbage collection that Spark runs after each of its tasks."""
+    gc.freeze()
+
+
 def start(blocks: Blocks, value: float) -> DataFrame:
     """STATE: a row for each block (other = -1) with ids, ranks, what is held back and, as data, what is to be passed on."""
     def run(table: pa.Table) -> pa.Table:
@@ -270,6 +278,7 @@ def start(blocks: Blocks, value: float) -> DataFrame:
 def send(state: DataFrame, blocks: Blocks) -> DataFrame:
     """state with what each block sends to each."""
     def run(got: pa.Table, table: pa.Table) -> pa.Table:
+        _keep_loaded()
         own, layout = _cells(got), _cells(table)
         b = own["b"].as_py()
         row = (b, -1, None, *[own[n].as_py() for n in ("ids", "p", "held", "measure")])
@@ -281,6 +290,7 @@ def send(state: DataFrame, blocks: Blocks) -> DataFrame:
 def push(state: DataFrame, blocks: Blocks, mode: str, epsilon: float, last: bool = False) -> DataFrame:
     """The next round of what send() gives, sent again unless last; measure: of a block the highest total (topology) or passed value."""
     def run(got: pa.Table, table: pa.Table) -> pa.Table:
+        _keep_loaded()
         layout = _cells(table)
         order = np.argsort(got["other"].to_numpy())
         own, sent = int(order[0]), [_doubles(got["data"][int(i)]) for i in order[1:]]
